@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from struct import pack
 
 import numpy as np
 import regex
@@ -68,7 +69,7 @@ class Codec:
             spec = json.load(f)
         letter, vocab = byte_letters(), spec["model"]["vocab"]
         spelled = {t: bytes(letter[c] for c in t) for t in vocab}
-        self.letter = {b: c for c, b in letter.items()}
+        self.letter = {b: ord(c) for c, b in letter.items()}
         self.model = Tokenizer.from_file(path).model  # merges the bytes of a fragment
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = {t: np.uint32(i).tobytes() for t, i in added.items()}
@@ -130,7 +131,8 @@ class Codec:
         return self._fragment(parts[0]) if len(parts) == 1 else b"".join(map(self.fragments.__getitem__, parts))
 
     def _fragment(self, data: bytes) -> bytes:
-        return np.array([t.id for t in self.model.tokenize("".join(map(self.letter.__getitem__, data)))], "<u4").tobytes()
+        found = self.model.tokenize(data.decode("latin-1").translate(self.letter))
+        return pack(f"<{len(found)}I", *[t.id for t in found])
 
 
 _codecs: dict[str, Codec] = {}
