@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bpe"]
+MODULES = ["bpe", "quality"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
