@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bpe", "quality"]
+MODULES = ["tiff", "bpe", "quality"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
