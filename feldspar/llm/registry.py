@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tiff", "bpe", "quality"]
+MODULES = ["tiff", "bpe", "secrets", "quality"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
