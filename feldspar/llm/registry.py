@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tiff", "decontaminate", "bpe", "secrets", "quality"]
+MODULES = ["tiff", "langid", "decontaminate", "bpe", "secrets", "quality"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
