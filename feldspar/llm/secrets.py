@@ -159,8 +159,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def shown(array):
         return F.array_join(F.transform(array, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    base = F.filter("spans", lambda s: s["kind"] != "guess")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    def of(k):
+        return F.filter("spans", lambda s: s["kind"] == F.lit(k))
+
+    base = F.filter("spans", lambda s: s["kind"] != F.lit("guess"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return spans.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
