@@ -84,6 +84,11 @@ def kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def ddl(df: DataFrame, names: tuple[str, ...]) -> str:
+    """Those columns for the end of a schema string."""
+    return "".join(f", `{n}` {kind(df, n)}" for n in names)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
@@ -123,6 +128,21 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], many: boo
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable]) -> DataFrame:
+    """The rows for whose value in that column the function that make() returns is true, with all columns."""
+    ship(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                yield part.filter(pa.array([bool(f(v.as_py())) for v in part.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kind, map_rows, pick, ship, written
+from .common import ddl, kind, map_rows, pick, ship, written
 from .words import WORD_BYTES, word_hashes
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
@@ -117,17 +117,17 @@ def _count(docs: DataFrame, index: Index, text: str) -> np.ndarray:
     return counts
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, text, n_words, hits (array of struct begin, end: the hit words, as disjoint ranges) and items
-    (array of item ids as strings, sorted), a row for every row of docs."""
+def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_words, hits (array of struct begin, end: the hit words, as disjoint ranges), items
+    (array of item ids as strings, sorted) and the columns to carry, a row for every row of docs."""
     spark = docs.sparkSession
     own = pick(items, item_id, item_text).toDF("i", "t").where("i is not null and t is not null").select(F.col("i").cast("string").alias("i"), "t")
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    docs = pick(docs, doc_id, text)
-    id_kind = kind(docs, doc_id)
+    docs = pick(docs, doc_id, text, *carry)
+    id_kind, more = kind(docs, doc_id), ddl(docs, carry)
     empty = "cast(array() as array<struct<begin: long, end: long>>) as hits"
-    out = docs.selectExpr(f"`{doc_id}`", f"`{text}`", "0L as n_words", empty, "cast(array() as array<string>) as items")
+    out = docs.selectExpr(f"`{doc_id}`", f"`{text}`", "0L as n_words", empty, "cast(array() as array<string>) as items", *[f"`{c}`" for c in carry])
     for k in range(blocks):
         part = own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else own
         index = Index([(r["i"], r["t"]) for r in part.distinct().collect()], window)
@@ -137,7 +137,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
         def make(shared=shared):
             x = shared.value
 
-            def row(i, t, _, hits, had):
+            def row(i, t, _, hits, had, *rest):
                 w = x.lookup(word_hashes(t, WORD_BYTES))
                 at, win = x.search(w)
                 if len(at):
@@ -152,11 +152,11 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
                     win = np.unique(win)
                     owners = np.unique(np.concatenate([x.owner[x.first[v] : x.first[v + 1]] for v in win]))
                     had = sorted({*had, *(x.ids[o] for o in owners)})
-                return i, t, len(w), hits, had
+                return i, t, len(w), hits, had, *rest
 
             return row
 
-        out = map_rows(out, f"`{doc_id}` {id_kind}, `{text}` string, n_words long, hits array<struct<begin: long, end: long>>, items array<string>", make)
+        out = map_rows(out, f"`{doc_id}` {id_kind}, `{text}` string, n_words long, hits array<struct<begin: long, end: long>>, items array<string>{more}", make)
         if k + 1 < blocks:
             out = written(out, "decontaminate")
     return out

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, kind, map_rows, pick, sample_of_labels
+from .common import fold, keep_rows, kind, map_rows, pick, sample_of_labels
 
 BLOCK, LEVEL, DICT_BYTES = 2048, 3, 64 << 10
 PER_CLASS, SAMPLE_CHARS = 800, 8000
@@ -132,6 +132,11 @@ def score_quality(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     return map_rows(df, f"`{doc_id}` {kind(df, doc_id)}, score double", lambda: lambda i, t: (i, model.score(t)))
 
 
+def keep_good(df: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows that score threshold or more, with all their columns."""
+    return keep_rows(df, text, lambda: lambda t: model.score(t) >= threshold)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs, fit_quality(docs, labels, fold("doc_id", 4) != 2))

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kind, map_rows, pick
+from .common import ddl, kind, map_rows, pick
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -135,22 +135,23 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return map_rows(df, f"`{doc_id}` {kind(df, doc_id)}, spans array<struct<kind: string, start: long, end: long, sha256: string>>", lambda: row)
 
 
-def redact_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text with each stretch of overlapping spans replaced by the first one's [kind], n_chars."""
-    df = pick(df, doc_id, text)
+def redact_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text with each stretch of overlapping spans replaced by the first one's [kind], n_chars, and the
+    columns to carry."""
+    df = pick(df, doc_id, text, *carry)
 
-    def row(i, t):
+    def row(i, t, *rest):
         if t is None:
-            return i, None, None
+            return i, None, None, *rest
         out, at = [], 0
         for k, a, b in find_secrets(t):
             if a >= at:
                 out += [t[at:a], f"[{k}]"]
             at = max(at, b)
         new = "".join(out) + t[at:]
-        return i, new, len(new)
+        return i, new, len(new), *rest
 
-    return map_rows(df, f"`{doc_id}` {kind(df, doc_id)}, text string, n_chars long", lambda: row)
+    return map_rows(df, f"`{doc_id}` {kind(df, doc_id)}, `{text}` string, n_chars long{ddl(df, carry)}", lambda: row)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
