@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tiff", "langid", "dedup", "decontaminate", "bpe", "secrets", "quality"]
+MODULES = ["tiff", "langid", "dedup", "decontaminate", "html", "bpe", "secrets", "quality"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
