@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["tiff", "langid", "dedup", "decontaminate", "html", "toolcalls", "bpe", "secrets", "quality"]
+MODULES = ["tiff", "langid", "dedup", "decontaminate", "toxicity", "html", "toolcalls", "bpe", "secrets", "quality"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
