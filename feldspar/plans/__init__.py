@@ -1,0 +1 @@
+"""Compilation of expressions and reusable pipelines."""

@@ -1,0 +1,121 @@
+"""Typed sources: CSV files and strings, records, columns, Parquet."""
+
+from __future__ import annotations
+
+import csv
+import io
+from collections.abc import Iterable
+from decimal import Decimal
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..errors import EngineError, ErrorCode
+from ..operators import Frame
+from ..plans.compiler import cast
+from ..schema import Schema
+from ..types import FLOATS, DType, Kind, is_integer
+
+
+def _session(spark: SparkSession | None) -> SparkSession:
+    return spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def _parsed(c: Column, t: DType) -> Column:
+    """A CSV cell: trimmed; empty is null; whole numbers have digits only; true begins with 1, t or y."""
+    s = F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    s = F.nullif(s, F.lit(""))
+    if t.kind is Kind.String:
+        out = s
+    elif t.kind is Kind.Boolean:
+        out = F.when(s.isNotNull(), F.lower(F.substring(s, 1, 1)).isin("1", "t", "y"))
+    elif is_integer(t.kind):
+        out = F.when(s.rlike(r"^[+-]?[0-9]+$"), s).try_cast(t.spark)
+    elif t.kind is Kind.Timestamp:
+        out = F.try_to_timestamp(s)
+    else:
+        out = cast(s, Kind.String, t.kind)
+    if not t.nullable and t.kind is Kind.String:
+        return F.coalesce(out, F.lit(""))
+    return out
+
+
+def _typed(raw: DataFrame, schema: Schema, projection: list[int] | None) -> DataFrame:
+    keep = range(len(schema.columns)) if projection is None else projection
+    out = []
+    for i in keep:
+        name, t = schema.at(i)
+        out.append(_parsed(F.col(raw.columns[i]), t).alias(name, metadata={"kind": t.kind.value}))
+    return raw.select(*out)
+
+
+def read_csv(path, schema: Schema | dict, delimiter: str = ",", quote: str = '"', has_header: bool = True, skip_rows: int = 0, max_rows: int | None = None, projection: list[int] | None = None, spark: SparkSession | None = None, multi_line: bool = False) -> Frame:
+    """A lazy scan.  Columns map by position, the header's names don't matter; short rows end in nulls, what
+    long rows have more is left out; blank lines are no rows.  skip_rows skips data rows of a single file.  Files split
+    over tasks unless multi_line says that quoted cells hold line ends."""
+    schema = schema if isinstance(schema, Schema) else Schema(schema)
+    text = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(schema.columns))])
+    reader = _session(spark).read.schema(text).option("sep", delimiter[:1]).option("quote", quote[:1]).option("escape", quote[:1]).option("header", has_header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", multi_line)
+    raw = reader.csv(path)
+    if skip_rows:
+        raw = raw.offset(skip_rows)
+    if max_rows is not None:
+        raw = raw.limit(max_rows)
+    return Frame(_typed(raw, schema, projection))
+
+
+def from_csv_string(text: str, schema: Schema | dict, delimiter: str = ",", quote: str = '"', has_header: bool = True, skip_rows: int = 0, max_rows: int | None = None, projection: list[int] | None = None, spark: SparkSession | None = None) -> Frame:
+    """The same of a string; quoted cells may hold line ends."""
+    schema = schema if isinstance(schema, Schema) else Schema(schema)
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter[:1], quotechar=quote[:1]) if r]
+    rows = rows[int(has_header) :][skip_rows:]
+    rows = rows[:max_rows] if max_rows is not None else rows
+    n = len(schema.columns)
+    cells = [tuple((r + [None] * n)[:n]) for r in rows]
+    raw = _session(spark).createDataFrame(cells, T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)]))
+    return Frame(_typed(raw, schema, projection))
+
+
+def _fit(value: Any, t: DType) -> Any:
+    """Whole numbers as the column's type asks for them."""
+    if isinstance(value, int) and not isinstance(value, bool):
+        return float(value) if t.kind in FLOATS else Decimal(value) if t.kind is Kind.UInt64 else value
+    return value
+
+
+def from_records(records: Iterable[dict[str, Any]], schema: Schema | dict, spark: SparkSession | None = None) -> Frame:
+    """Values as they are; what a record lacks is null."""
+    schema = schema if isinstance(schema, Schema) else Schema(schema)
+    rows = [tuple(_fit(r.get(n), t) for n, t in schema.columns) for r in records]
+    return Frame(_session(spark).createDataFrame(rows, schema.spark()))
+
+
+def from_columns(columns: dict[str, list], schema: Schema | dict, spark: SparkSession | None = None) -> Frame:
+    """Lists of equal length."""
+    schema = schema if isinstance(schema, Schema) else Schema(schema)
+    if len({len(columns.get(n, ())) for n in schema.names}) > 1 or set(columns) != set(schema.names):
+        raise EngineError(ErrorCode.SchemaMismatch, "columns of equal length, one for each name")
+    return Frame(_session(spark).createDataFrame(list(zip(*[[_fit(v, t) for v in columns[n]] for n, t in schema.columns])), schema.spark()))
+
+
+def from_batches(batches: list, spark: SparkSession | None = None) -> Frame:
+    """Arrow batches of one schema."""
+    import pyarrow as pa
+
+    return Frame(_session(spark).createDataFrame(pa.Table.from_batches(batches)))
+
+
+def empty(schema: Schema | dict, spark: SparkSession | None = None) -> Frame:
+    schema = schema if isinstance(schema, Schema) else Schema(schema)
+    return Frame(_session(spark).createDataFrame([], schema.spark()))
+
+
+def read_parquet(path, spark: SparkSession | None = None) -> Frame:
+    """A lazy scan of files or folders, with Spark's pruning and pushdown."""
+    return Frame(_session(spark).read.parquet(path))
+
+
+def parquet_schema(path, spark: SparkSession | None = None) -> T.StructType:
+    return _session(spark).read.parquet(path).schema
