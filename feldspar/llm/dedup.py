@@ -34,7 +34,7 @@ HALVES, ROWS = 8, 2
 #: Members with which all others of a bucket are compared first.
 HUBS = 4
 #: 64-bit words of a set's bitmap.
-WORDS = 8
+WORDS = 6
 
 
 def half_keys(s: np.ndarray, halves: int, rows: int) -> list[int]:
@@ -147,7 +147,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     info = info.select("node", "c", "n", "halves", F.coalesce("odd", F.lit(False)).alias("odd"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("o"))
     info = info.join(own_sets.withColumnRenamed("id", "node").select("node", *bits), "node")
     # what shares a bucket shares a first half key: an eighth of the tables finds every pair again
-    halved = info.select("*", F.posexplode(F.slice("halves", 1, halves)).alias("at", "half")).withColumn("key", F.xxhash64("at", "half")).drop("halves", "at", "half")
+    half = [f"a{k}" for k in range(halves)]
+    halved = info.select("*", *[F.element_at("halves", k + 1).alias(h) for k, h in enumerate(half)], F.posexplode(F.slice("halves", 1, halves)).alias("at", "half"))
+    halved = halved.withColumn("key", F.xxhash64("at", "half")).drop("halves", "half")
     halved = written(halved, "halved")
     groups = halved.groupBy("key").agg(F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", "least")
     # the smallest partner that could hold o makes the union least
@@ -155,7 +157,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     able = written(able, "able")
     main = able.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     marked = able.join(main, "key")
-    stray = marked.where("c != main").select("key", *[F.col(x).alias(f"s_{x}") for x in ("node", "c", "n", "o", "odd", *bits)])
+    stray = marked.where("c != main").select("key", *[F.col(x).alias(f"s_{x}") for x in ("node", "c", "n", "o", "odd", *bits, *half)])
 
     def lacking(a: str, b: str) -> Column:
         """Bits of one side that the other lacks: so many shingles at least are not shared."""
@@ -164,7 +166,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     most = F.least(F.least("o", F.col("n") - lacking("", "s_")), F.least("s_o", F.col("s_n") - lacking("s_", "")))
     possible = 100 * most >= percent * (F.col("n") + F.col("s_n") - most)
     both = (F.col("main") == F.col("c")) | (F.col("node") < F.col("s_node"))  # two strays meet once
-    pairs = stray.join(marked, "key").where((F.col("c") != F.col("s_c")) & both & (F.col("odd") | F.col("s_odd") | possible))
+    # in no group of an earlier half key (an id with several texts may be there by another of them)
+    again = reduce(lambda x, y: x | y, [(F.col("at") > k) & (F.col(h) == F.col(f"s_{h}")) for k, h in enumerate(half)])
+    pairs = stray.join(marked, "key").where((F.col("c") != F.col("s_c")) & both & (F.col("odd") | F.col("s_odd") | possible & ~again))
     pairs = pairs.select(F.greatest("s_node", "node").alias("u"), F.least("s_node", "node").alias("v")).distinct()
     second = written(_verify(pairs, sets, percent), "linked")
     labels = components(first.union(second))
