@@ -265,6 +265,8 @@ class Network:
     def fit(self, rows: list[tuple[str, int]], share: float, epochs: int = 3, batch: int = 128, rate: float = 0.012, seed: int = 5) -> Network:
         """rows: (text, label); share: of label 1 among all labelled rows."""
         self.share = share
+        r = np.random.default_rng(seed)
+        rows = [rows[i] for i in r.permutation(len(rows))]
         docs = [(windows_of(words_of(t)), y) for t, y in rows]
         halves = [[(set(w), y) for ws, y in docs[b::2] for w in ws] for b in (0, 1)]
         if len({y for ws, y in docs if ws[0]}) < 2:
@@ -276,7 +278,6 @@ class Network:
         often = sorted((w for w in count if count[w] >= OFTEN), key=lambda w: (-count[w], w))[: WORD_SLOTS - 1]
         self.vocabulary = {w: i + 1 for i, w in enumerate(often)}
         tables = [Odds(log_odds(halves[1])), Odds(log_odds(halves[0]))]
-        r = np.random.default_rng(seed)
         flat = [[(w, y) for ws, y in docs[b::2] for w in ([ws[i] for i in r.permutation(len(ws))[:TRAINED]]) if w] for b in (0, 1)]
         m = {n: [np.zeros_like(v), np.zeros_like(v)] for n, v in self.p.items()}
         t, total = 0, epochs * sum(-(-len(f) // batch) for f in flat)
