@@ -28,7 +28,7 @@ from .functions import (
     typed_lit,
 )
 from .operators import Frame, Grouped, SortKey, agg, asc, concat, desc, inner_join, left_join
-from .plans.compiler import Compiler
+from .plans.compiler import Compiler, compile_predicate, compile_value, infer_expr_type, validate_expr
 from .plans.pipeline import Pipeline, PipelineBuilder, from_schema
 from .schema import Schema
 from .sources import empty, from_batches, from_columns, from_csv_string, from_records, parquet_schema, read_csv, read_parquet

@@ -197,6 +197,27 @@ class Compiler:
         return self.kind(e) in FLOATS
 
 
+def compile_predicate(e: Expr, df: DataFrame) -> Column:
+    return Compiler(df).predicate(e)
+
+
+def compile_value(e: Expr, df: DataFrame) -> Column:
+    return Compiler(df).value(e)
+
+
+def infer_expr_type(e: Expr, df: DataFrame) -> Kind | None:
+    return Compiler(df).kind(e)
+
+
+def validate_expr(e: Expr, df: DataFrame) -> EngineError | None:
+    """What is wrong with the expression against these columns; None if nothing is."""
+    try:
+        Compiler(df).kind(e)
+    except EngineError as found:
+        return found
+    return None
+
+
 def _compare(op: str, x: Column, y: Column) -> Column:
     return {"lt": x < y, "lte": x <= y, "gt": x > y, "gte": x >= y}[op]
 

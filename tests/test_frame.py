@@ -242,6 +242,13 @@ def test_looking_at_frames(spark):
     assert f.collect().count() == 2 and sum(b.num_rows for b in f.batches()) == 2
 
 
+def test_inference(spark):
+    df = frame(spark, [(1, "a")], N).df
+    assert fs.infer_expr_type(fs.div("id", lit(2.5)), df) is Kind.Float64 and fs.infer_expr_type(col("id").gt(1), df) is Kind.Boolean
+    assert fs.validate_expr(fs.neg("s"), df).code == ErrorCode.TypeIncompatible and fs.validate_expr(col("id").add(1), df) is None
+    assert df.select(fs.compile_value(col("id").add(1), df)).first()[0] == 2 and df.where(fs.compile_predicate(col("id").eq(1), df)).count() == 1
+
+
 def test_stream(spark, tmp_path):
     from feldspar.streaming import run_to_end, stream_parquet
 
