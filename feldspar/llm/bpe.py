@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import kind, map_rows, pick
+from .common import kind, map_rows, pick, spread
 
 #: The split rule of this family of vocabularies, and White_Space as it means it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -179,7 +179,7 @@ def decode_bpe(df: DataFrame, path: str | None = None, doc_id: str = "doc_id", i
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
     both = decode_bpe(encode_bpe(docs))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -80,6 +80,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{have.index(n)}").alias(n) for n in names])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than there are cores, as one small file does; else df."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

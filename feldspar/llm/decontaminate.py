@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl, kind, map_rows, pick, ship, written
+from .common import ddl, kind, map_rows, pick, ship, spread, written
 from .words import WORD_BYTES, word_hashes
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
@@ -165,7 +165,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_by
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["begin"])
-    return find_items(docs, items).select(
+    return find_items(spread(docs), items).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, written
+from .common import map_rows, pick, spread, written
 from .graph import components
 from .words import NOT_SPACE, mix, shingles, word_hashes
 
@@ -108,7 +108,7 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: int = 10, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; doc_id must be a whole number."""
     docs = pick(docs, doc_id, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    sketched = written(sketch(docs, size, halves, rows), "sketch")
+    sketched = written(sketch(spread(docs), size, halves, rows), "sketch")
     real = sketched.where("id is not null and `set` is not null")
 
     # equal sets: one node, named by its smallest id

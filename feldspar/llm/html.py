@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kind, pick, ship
+from .common import kind, pick, ship, spread
 
 BLOCKS = set("""html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -408,7 +408,7 @@ def extract(df: DataFrame, model: Model | None = None, page_id: str = "page_id",
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 QUERIES = {"op6_html": op6_html}

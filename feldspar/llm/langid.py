@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, kind, map_rows, pick, ship
+from .common import fold, kind, map_rows, pick, ship, spread
 
 PROFILE, PER_LANG = 400, 2000
 _TEMPERATURE = 0.03
@@ -139,7 +139,7 @@ def identify(df: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: st
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs, fit_profiles(docs, fold("doc_id", 4) != 2))
+    found = identify(spread(docs), fit_profiles(docs, fold("doc_id", 4) != 2))
     return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

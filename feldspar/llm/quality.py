@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, keep_rows, kind, map_rows, pick, sample_of_labels
+from .common import fold, keep_rows, kind, map_rows, pick, sample_of_labels, spread
 
 BLOCK, LEVEL, DICT_BYTES = 2048, 3, 64 << 10
 PER_CLASS, SAMPLE_CHARS = 800, 8000
@@ -139,7 +139,7 @@ def keep_good(df: DataFrame, model: Model, threshold: float = THRESHOLD, text: s
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score_quality(docs, fit_quality(docs, labels, fold("doc_id", 4) != 2))
+    scored = score_quality(spread(docs), fit_quality(docs, labels, fold("doc_id", 4) != 2))
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl, kind, map_rows, pick
+from .common import ddl, kind, map_rows, pick, spread
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -155,7 +155,7 @@ def redact_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    spans = scan_secrets(spread(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")))
 
     def shown(array):
         return F.array_join(F.transform(array, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

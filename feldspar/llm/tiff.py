@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kind, map_rows, pick
+from .common import kind, map_rows, pick, spread
 
 #: Fixed values of the format: tag numbers, bytes of each field type, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS_PER_STRIP, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -359,7 +359,7 @@ def store_as_tiff(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    docs = spread(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
     pages = tiff_pages(store_as_tiff(docs), keys=("doc_id", "n_bytes"))  # one page each
     payload = F.col("samples")
     return pages.select(

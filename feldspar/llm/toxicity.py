@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, kind, pick, sample_of_labels, ship
+from .common import fold, kind, pick, sample_of_labels, ship, spread
 
 WINDOW, STEP, LONGEST = 64, 32, 32
 PER_CLASS, SAMPLE_CHARS = 500, 4000
@@ -413,7 +413,7 @@ def score_toxicity(df: DataFrame, network: Network, doc_id: str = "doc_id", text
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = score_toxicity(docs, fit_toxicity(docs, labels, fold("doc_id", 5) != 0))
+    scored = score_toxicity(spread(docs), fit_toxicity(docs, labels, fold("doc_id", 5) != 0))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
