@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order column that a fill over a whole table is done in.
-RANGES = 64
+#: Ranges of the order column that a fill over a whole table is done in, at least and at most; between them two for
+#: each shuffle partition.  BLOCK ranges are searched at once.
+LEAST, MOST, BLOCK = 64, 4096, 64
 
 
 def drop_null(df: DataFrame, names: list[str]) -> DataFrame:
@@ -33,12 +34,29 @@ def count_unique(name: str) -> Column:
     return (F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))).cast("bigint")
 
 
+def _range_of(o: Column, cuts: list) -> Column:
+    """How many cuts are below the value (-1 for null): first among every BLOCK-th cut, then in that block."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(c) for c in cuts])
+
+    def below(a: Column) -> Column:
+        return F.size(F.filter(a, lambda b: b < o))
+
+    if len(cuts) <= BLOCK:
+        found = below(bounds)
+    else:
+        block = below(F.array(*[F.lit(c) for c in cuts[BLOCK - 1 :: BLOCK]]))
+        found = block * BLOCK + below(F.slice(bounds, block * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(o.isNotNull(), found).otherwise(-1)
+
+
 def fill_along(df: DataFrame, name: str, order_by: str, partition_by: list[str] | None, backward: bool) -> DataFrame:
     """Each null takes the nearest earlier (or later) value in the order.
 
-    With partition_by the fill is a window over each partition.  Over a whole table the order column is cut at RANGES
-    quantiles: ranges are filled independently, and the value that enters a range comes from a table of RANGES
-    rows.  No window ever holds the whole table."""
+    With partition_by the fill is a window over each partition.  Over a whole table the order column is cut at
+    quantiles: ranges are filled independently, and the value that enters a range comes from a table with a row for each
+    range.  No window ever holds the whole table."""
     c, o = F.col(f"`{name}`"), F.col(f"`{order_by}`")
 
     def filled(part: list[Column]) -> Column:
@@ -49,20 +67,16 @@ def fill_along(df: DataFrame, name: str, order_by: str, partition_by: list[str]
 
     if partition_by:
         return df.withColumn(name, filled([F.col(f"`{p}`") for p in partition_by]))
-    cuts = df.agg(F.percentile_approx(o, [i / RANGES for i in range(1, RANGES)])).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(v) for v in cuts])
-        place = F.coalesce(F.size(F.filter(bounds, lambda b: b < o)), F.lit(-1))
-    ranged = df.withColumn("__range", place)
+    ranges = min(MOST, max(LEAST, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = df.agg(F.percentile_approx(o, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    ranged = df.withColumn("__range", _range_of(o, sorted(set(cuts))))
     seen = F.when(c.isNotNull(), F.struct(o.alias("o")))
     edge = ranged.groupBy("__range").agg((F.min_by if backward else F.max_by)(c, seen).alias("__edge"))
-    every = Window.orderBy("__range")  # over at most RANGES + 1 rows
+    every = Window.orderBy("__range")  # over at most MOST + 1 rows
     if backward:
         entering = F.first("__edge", ignorenulls=True).over(every.rowsBetween(1, Window.unboundedFollowing))
     else:
         entering = F.last("__edge", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1))
     edge = edge.select(F.col("__range").alias("__r"), entering.alias("__edge"))
-    out = ranged.join(F.broadcast(edge), F.col("__range") == F.col("__r"))  # RANGES + 1 rows at most
+    out = ranged.join(F.broadcast(edge), F.col("__range") == F.col("__r"))  # MOST + 1 rows at most
     return out.withColumn(name, F.coalesce(filled([F.col("__range")]), F.col("__edge"))).select(*[F.col(f"`{x}`") for x in df.columns])

@@ -176,6 +176,15 @@ def test_fills_and_nulls(spark):
     assert code(lambda: f.fill_null("v", "x")) == ErrorCode.InvalidFillValue
 
 
+def test_fill_over_many_ranges(spark, monkeypatch):
+    from feldspar.operators import cleaning
+
+    monkeypatch.setattr(cleaning, "LEAST", 300)
+    f = fs.Frame(spark.range(2000).selectExpr("id", "case when id % 37 = 5 then id end as v"))
+    got = {r["id"]: r["v"] for r in f.fill_null_forward("v", "id").to_list()}
+    assert got == {i: (i - 5) // 37 * 37 + 5 if i >= 5 else None for i in range(2000)}
+
+
 def test_unique(spark):
     f = frame(spark, [(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], N)
     assert values(f.unique("s", order_by="id"), "id") == [(1,), (3,), (5,)]
