@@ -358,7 +358,8 @@ class Network:
             self._inputs, self._used = self._shut()[None].repeat(KNOWN + 1, 0), 1
         for a in range(0, len(every), 512):
             i = every[a : a + 512].T
-            out.append(self._window_forward(self._inputs[i], i > 0)[0])
+            # rounded, as the last bits depend on what else is multiplied at the same time
+            out.append(np.round(self._window_forward(self._inputs[i], i > 0)[0].astype(np.float64), 3))
         return np.split(np.concatenate(out), np.cumsum(counts)[:-1])
 
     def scores(self, texts: list[str | None]) -> list[float]:
