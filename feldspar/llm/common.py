@@ -54,15 +54,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/feldspar-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._feldspar_path = path
+    return out
 
 
-def remove(df: DataFrame) -> None:
-    """Delete a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+def remove(*tables: DataFrame) -> None:
+    """Delete tables made by written()."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._feldspar_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, spread, written
+from .common import map_rows, pick, remove, spread, written
 from .graph import components
 from .words import NOT_SPACE, mix, shingles, word_hashes
 
@@ -171,7 +171,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     pairs = stray.join(marked, "key").where((F.col("c") != F.col("s_c")) & both & (F.col("odd") | F.col("s_odd") | possible & ~again))
     pairs = pairs.select(F.greatest("s_node", "node").alias("u"), F.least("s_node", "node").alias("v")).distinct()
     second = written(_verify(pairs, sets, percent), "linked")
+    remove(labels)
     labels = components(first.union(second))
+    remove(nodes, buckets, central, sets, first, pool, halved, able, second)  # member, sketched and labels make the result
 
     own = member.join(labels.toDF("node", "c"), "node", "left").select("id", "n", F.coalesce("c", "node").alias("component"))
     rest = sketched.where("id is null or `set` is null").select("id", "n", F.col("id").alias("component"))

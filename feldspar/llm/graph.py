@@ -29,7 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Of edges (u, v) over orderable ids: (id, component) for every node that isn't its component's smallest.
-    Loops and repeated edges don't matter; each round is written to the shared folder."""
+    Loops and repeated edges don't matter; each round is written to the shared folder, the last one remains there."""
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     state = _state(now)
     while state[0]:
@@ -40,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if after == state:
             break
         state = after
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out._feldspar_path = now._feldspar_path
+    return out
