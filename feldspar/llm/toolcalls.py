@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to their results, put in dependency order, validated and written as
 canonical JSON.  DataFrame functions only.
 
-Calls and results meet in an equi-join on the call's identifier; several results of one identifier are first reduced
-to the earliest (by turn, then content) and their number.  A call names at most one call that it comes after; its position is
+Calls and results meet in an equi-join on the call's identifier; of several results of one identifier a call's record has
+the earliest (by turn, then content) and their number, and further_results() gives the others, a row each with its rank.  A call names at most one call that it comes after; its position is
 the length of that chain, found by pointer doubling, so that a chain of n calls takes log2(n) joins and no
 conversation is gathered in one task.  Arguments are parsed to variants and checked against a schema for each tool.
 Canonical JSON has sorted keys and no white space.
@@ -10,12 +10,12 @@ Canonical JSON has sorted keys and no white space.
 Rules: a call without identifier is never linked and has position 0.  Of several calls of one identifier each gets
 its own row and the same result; the chain follows the smallest predecessor.  Calls on a cycle or behind one have a
 null position and the error `cycle`.  A predecessor that doesn't exist counts as none.  Results without a call get a row of
-kind `result`.  Null and empty arguments are invalid; a missing or null argument is an error only where it is required.
+kind `result`.  Turns that are neither call nor result (system turns, other roles) give no row.  Null and empty arguments are invalid; a missing or null argument is an error only where it is required.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, remove, written
@@ -87,21 +87,40 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     )
 
 
+def further_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The results that link_calls leaves out of its records: of each identifier with a call all but the earliest, with the same
+    columns; the record has the rank by turn, content and conversation.  Ranks are counted in ranges of that order, so that an
+    identifier with very many results is dealt over many tasks."""
+    calls, results = pick(calls, "call_id"), pick(results, "conv_id", "turn", "call_id", "content")
+    many = results.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results")).where("n_results > 1").join(calls, "call_id", "left_semi")
+    order = ["turn", "content", "conv_id"]
+    dealt = written(results.join(many, "call_id").repartitionByRange("call_id", *order).withColumn("part", F.spark_partition_id()), "results")
+    earlier = Window.partitionBy("call_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("call_id", "part").agg(F.count(F.lit(1)).alias("n")).select("call_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("call_id", "part").orderBy(*order))
+    ranked = dealt.withColumn("own", own).join(before, ["call_id", "part"]).withColumn("rank", F.col("own") + F.col("before")).where("rank > 1")
+    record = F.struct("call_id", "conv_id", "rank", F.col("content").alias("result"), "turn")
+    return ranked.select(
+        F.lit("result").alias("kind"), "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(True).alias("linked"), "n_results", F.lit(None).cast("long").alias("position"),
+        F.lit(False).alias("valid"), F.to_json(record, {"ignoreNullFields": "false"}).alias("record"),
+    )
+
+
 _CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: string>>>"
 _RESULT = "struct<tool_call_id: string, content: string>"
 
 
 def chat_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of conv_id, turn, role, text.  A user's turn calls the tool `reply`, after the user's
-    turn before the last; the assistant's next turn is its result.  Messages that are JSON with tool_calls, and those
-    of role tool with tool_call_id, are the calls and results that they say."""
+    turn before the last; the assistant's next turn is its result.  Messages that are JSON with tool_calls (not an empty
+    array), and those of role tool with tool_call_id, are the calls and results that they say."""
     rows = pick(conversations, "conv_id", "turn", "role", "text")
     said = rows.withColumns({"c": F.when(F.col("text").startswith("{"), F.from_json("text", _CALLS)), "r": F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", _RESULT))})
 
     def id_(back: int) -> Column:
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
 
-    plain = F.col("c.tool_calls").isNull()
+    plain = F.col("c.tool_calls").isNull() | (F.size("c.tool_calls") == 0)
     asked = said.where((F.col("role") == "user") & plain).select("conv_id", "turn", id_(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), id_(2).alias("after"))
     called = said.where("c.tool_calls is not null").select("conv_id", "turn", F.explode("c.tool_calls").alias("t")).select("conv_id", "turn", F.col("t.id").alias("call_id"), "t.name", "t.arguments", "t.after")
     answered = said.where((F.col("role") == "assistant") & plain).select("conv_id", "turn", id_(1).alias("call_id"), F.col("text").alias("content"))
@@ -111,7 +130,7 @@ def chat_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op7_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat_events(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return link_calls(calls, results, CHAT)
+    return link_calls(calls, results, CHAT).unionByName(further_results(calls, results))
 
 
 QUERIES = {"op7_toolcalls": op7_toolcalls}

@@ -318,5 +318,17 @@ def test_tool_calls_in_messages(spark):
     assert toolcalls.link_calls(*toolcalls.chat_events(talk.limit(0)), toolcalls.CHAT).count() == 0
 
 
+def test_no_result_is_dropped(spark):
+    talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "ho"), (2, 1, "assistant", '{"tool_calls":[]}'), (3, 5, "assistant", "alone"), (3, 5, "assistant", "too")]
+    talk += [(4, 0, "user", "hot")] + [(4, 1, "assistant", f"r{i:04}") for i in range(500)]
+    calls, results = toolcalls.chat_events(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"))
+    got = toolcalls.further_results(calls, results).collect()
+    assert sorted(r["record"] for r in got if r["conv_id"] == 1) == ['{"call_id":"1:0","conv_id":1,"rank":2,"result":"b","turn":1}', '{"call_id":"1:0","conv_id":1,"rank":3,"result":"b","turn":1}']
+    assert sorted(r["record"] for r in got if r["conv_id"] == 4) == sorted(f'{{"call_id":"4:0","conv_id":4,"rank":{i + 1},"result":"r{i:04}","turn":1}}' for i in range(1, 500))
+    assert len(got) == 501 and all(r["kind"] == "result" and r["linked"] and r["n_results"] in (3, 500) for r in got)
+    linked = {r["call_id"]: r for r in toolcalls.link_calls(calls, results, toolcalls.CHAT).where("kind = 'call'").collect()}
+    assert '"result":"a"' in linked["1:0"]["record"] and linked["2:0"]["n_results"] == 1 and '"result":"r0000"' in linked["4:0"]["record"]
+
+
 def test_digests_of_empty_texts(docs):
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(bpe.codec(bpe.default_path()).encode("")).hexdigest()
