@@ -2,13 +2,14 @@
 canonical JSON.  DataFrame functions only.
 
 Calls and results meet in an equi-join on the call's identifier; of several results of one identifier a call's record has
-the earliest (by turn, then content) and their number, and further_results() gives the others, a row each with its rank.  A call names at most one call that it comes after; its position is
-the length of that chain, found by pointer doubling, so that a chain of n calls takes log2(n) joins and no
+the earliest (by turn, then content) and their number, and further_results() gives the others, a row each with its rank.  A call names any number of calls that it comes after; its position is
+the length of the longest chain up to it.  Calls with one predecessor are followed by pointer doubling, so that a chain of n calls
+takes log2(n) joins; calls with several are then placed in rounds, as many as stand behind one another.  No
 conversation is gathered in one task.  Arguments are parsed to variants and checked against a schema for each tool.
 Canonical JSON has sorted keys and no white space.
 
 Rules: a call without identifier is never linked and has position 0.  Of several calls of one identifier each gets
-its own row and the same result; the chain follows the smallest predecessor.  Calls on a cycle or behind one have a
+its own row and the same result; the identifier comes after all that they name.  Calls on a cycle or behind one have a
 null position and the error `cycle`.  A predecessor that doesn't exist counts as none.  Results without a call get a row of
 kind `result`.  Turns that are neither call nor result (system turns, other roles) give no row.  Null and empty arguments are invalid; a missing or null argument is an error only where it is required.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, remove, written
+from .common import kind, pick, remove, written
 
 #: For each tool its arguments: (variant type, required, may be empty).
 Schemas = dict[str, dict[str, tuple[str, bool, bool]]]
@@ -26,18 +27,56 @@ CHAT: Schemas = {"reply": {"prompt": ("STRING", True, False), "turn": ("BIGINT",
 
 
 def positions(nodes: DataFrame) -> DataFrame:
-    """Of id and after: id and position, null on cycles and behind them."""
-    ids = nodes.where("id is not null").groupBy("id").agg(F.min("after").alias("after"))
-    known = ids.select(F.col("id").alias("after"), F.col("id").alias("at"))
-    now = written(ids.join(known, "after", "left").select("id", "at", F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("position")), "chain")
+    """Of id and after (an array): id and position, the longest way from an id that comes after none, null on cycles and behind them."""
+    pairs = nodes.where("id is not null").select("id", F.explode_outer("after").alias("after"))
+    known = pairs.select(F.col("id").alias("after"), F.col("id").alias("at")).distinct()
+    pairs = pairs.join(known, "after", "left").select("id", "at")
+    ends = pairs.groupBy("id").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    single = F.coalesce(F.col("low") == F.col("high"), F.lit(False))
+    # base: the id without or with several predecessors to which single ones lead back
+    now = written(ends.select("id", F.when(single, F.col("low")).alias("at"), F.when(~single, F.col("id")).alias("base"), single.cast("long").alias("position"), F.coalesce(F.col("low") < F.col("high"), F.lit(False)).alias("many")), "chain")
     total, reach = now.count(), 1
     while now.where("at is not null").limit(1).count() and reach < 2 * total:
-        step = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("position").alias("more"))
-        new = now.join(step, "at", "left").select("id", F.col("next").alias("at"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"))
+        step = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("base").alias("found"), F.col("position").alias("more"))
+        new = now.join(step, "at", "left").select("id", F.col("next").alias("at"), F.coalesce("base", "found").alias("base"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"), "many")
         new = written(new, "chain")
         remove(now)
         now, reach = new, reach * 2
-    return now.select("id", F.when(F.col("at").isNull(), F.col("position")).alias("position"))
+    if not now.where("many").limit(1).count():
+        return now.select("id", F.when(F.col("at").isNull(), F.col("position")).alias("position"))
+    return now.join(_levels(pairs, now), "base", "left").select("id", (F.col("level") + F.col("position")).alias("position"))
+
+
+def _levels(pairs: DataFrame, now: DataFrame) -> DataFrame:
+    """base and level of the ids without or with several predecessors.  In each round those whose predecessors are all placed
+    get their level; what is left when a round places none is on a cycle or behind one."""
+    spot = now.select(F.col("id").alias("at"), "base", F.when(F.col("at").isNull(), F.col("position") + 1).alias("weight"))
+    open_ = pairs.join(now.where("many").select("id"), "id").join(spot, "at").groupBy("id", "base").agg(F.max("weight").alias("weight"))
+    open_ = written(open_.withColumn("way", F.lit(None).cast("long")), "ways")
+    front = written(now.where("base = id and not many").select("base", F.lit(0).cast("long").alias("level")), "levels")
+    levels, old = [front], open_
+    while True:
+        ways = open_.join(front.withColumnRenamed("level", "new"), "base", "left").select("id", "base", "weight", F.coalesce("way", F.col("new") + F.col("weight")).alias("way"))
+        ways = written(ways, "ways")
+        remove(old)
+        front = written(ways.groupBy("id").agg(F.max("way").alias("level"), F.count_if(F.col("way").isNull()).alias("n")).where("n = 0").select(F.col("id").alias("base"), "level"), "levels")
+        if not front.limit(1).count():
+            remove(ways, front)
+            break
+        levels.append(front)
+        open_, old = ways.join(front.select(F.col("base").alias("id")), "id", "left_anti"), ways
+        if len(levels) == 32:  # few tables in the plan
+            whole = written(_union(levels), "levels")
+            remove(*[t for t in levels if t is not front])
+            levels = [whole]
+    return _union(levels)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -62,9 +101,11 @@ def errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """calls: conv_id, turn, call_id, name, arguments (JSON text), after.  results: conv_id, turn, call_id, content.
+    """calls: conv_id, turn, call_id, name, arguments (JSON text), after (an identifier or an array of them).  results: conv_id, turn, call_id, content.
     One row for each call and for each result without one: kind, conv_id, turn, call_id, name, linked, n_results, position, valid, record."""
     calls = pick(calls, "conv_id", "turn", "call_id", "name", "arguments", "after")
+    if kind(calls, "after") == "string":
+        calls = calls.withColumn("after", F.array("after"))
     results = pick(results, "conv_id", "turn", "call_id", "content")
     first = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.col("content").alias("result"))).alias("r"), F.count(F.lit(1)).alias("n_results"))
     place = positions(calls.select(F.col("call_id").alias("id"), "after"))
@@ -106,7 +147,7 @@ def further_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-_CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: string>>>"
+_CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: variant>>>"
 _RESULT = "struct<tool_call_id: string, content: string>"
 
 
@@ -121,8 +162,8 @@ def chat_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
 
     plain = F.col("c.tool_calls").isNull() | (F.size("c.tool_calls") == 0)
-    asked = said.where((F.col("role") == "user") & plain).select("conv_id", "turn", id_(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), id_(2).alias("after"))
-    called = said.where("c.tool_calls is not null").select("conv_id", "turn", F.explode("c.tool_calls").alias("t")).select("conv_id", "turn", F.col("t.id").alias("call_id"), "t.name", "t.arguments", "t.after")
+    asked = said.where((F.col("role") == "user") & plain).select("conv_id", "turn", id_(0).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.array(id_(2)).alias("after"))
+    called = said.where("c.tool_calls is not null").select("conv_id", "turn", F.explode("c.tool_calls").alias("t")).select("conv_id", "turn", F.col("t.id").alias("call_id"), "t.name", "t.arguments", F.coalesce(F.try_variant_get("t.after", "$", "array<string>"), F.array(F.try_variant_get("t.after", "$", "string"))).alias("after"))
     answered = said.where((F.col("role") == "assistant") & plain).select("conv_id", "turn", id_(1).alias("call_id"), F.col("text").alias("content"))
     returned = said.where("r.tool_call_id is not null").select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), "r.content")
     return asked.unionByName(called), answered.unionByName(returned)

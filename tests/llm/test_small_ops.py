@@ -330,5 +330,24 @@ def test_no_result_is_dropped(spark):
     assert '"result":"a"' in linked["1:0"]["record"] and linked["2:0"]["n_results"] == 1 and '"result":"r0000"' in linked["4:0"]["record"]
 
 
+def test_order_of_calls_with_several_predecessors(spark):
+    from functools import cache
+
+    r = random.Random(8)
+    after = {f"n{i}": [f"n{r.randrange(max(1, i - 9), i)}" for _ in range(r.choice([0, 1, 1, 1, 2, 3]))] if i > 1 else [] for i in range(1, 60)}
+    after |= {f"d{i}": [f"d{i - 1}", f"d{i - 2}"] for i in range(2, 40)} | {"d0": [], "d1": ["d0", "gone", None]} | {"x": ["y", "n5"], "y": ["x"], "z": ["x", "n9"], "s": ["s"]}
+    rows_ = [(i, a) for i, a in after.items()] + [("n7", ["n3"]), (None, ["n1"])]
+    after["n7"] = [*after["n7"], "n3"]
+
+    @cache
+    def longest(i):
+        return max((longest(a) + 1 for a in after[i] if a in after), default=0)
+
+    got = {x["id"]: x["position"] for x in toolcalls.positions(spark.createDataFrame(rows_, "id string, after array<string>")).collect()}
+    assert got == {i: None if i in "xyzs" else longest(i) for i in after} and got["d39"] == 39
+    talk = spark.createDataFrame([(1, 0, "assistant", '{"tool_calls":[{"id":"a"},{"id":"b","after":"a"},{"id":"c","after":["a","b"]},{"id":"d","after":null},{"id":"e","after":[]}]}')], "conv_id long, turn long, role string, text string")
+    assert {x["call_id"]: x["position"] for x in toolcalls.link_calls(*toolcalls.chat_events(talk), {}).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "e": 0}
+
+
 def test_digests_of_empty_texts(docs):
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(bpe.codec(bpe.default_path()).encode("")).hexdigest()
