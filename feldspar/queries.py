@@ -341,6 +341,11 @@ def q_sort_nulls(f):
     return _with_null(f).sort([desc("o_flag", nulls_first=True), asc("o_orderkey")]).head(50).select("o_orderkey", "o_flag")
 
 
+@query("select o_orderkey, nullif(o_orderstatus, 'F') as o_flag from orders order by nullif(o_orderstatus, 'F') desc nulls first, o_orderkey", "orders")
+def q_sort_nulls_whole(f):
+    return _with_null(f).sort([desc("o_flag", nulls_first=True), asc("o_orderkey")]).select("o_orderkey", "o_flag")
+
+
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10", "orders")
 def q_topk(f):
     return f.order_by([desc("o_totalprice"), asc("o_orderkey")]).limit(10).select("o_orderkey", "o_totalprice")

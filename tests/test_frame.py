@@ -265,3 +265,13 @@ def test_stream(spark, tmp_path):
     f = stream_parquet(str(tmp_path / "in"), spark=spark).filter(col("id").gte(7))
     run_to_end(f, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_whole_sort_with_nulls_first(spark):
+    from feldspar.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in QUERIES["q_sort_nulls_whole"](spark, folder).collect()]
+    rows = [(r[0], None if r[1] == "F" else r[1]) for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderstatus").collect()]
+    want = [r for flag in (None, "P", "O") for r in sorted(x for x in rows if x[1] == flag)]
+    assert got == want and len(got) == 1500
