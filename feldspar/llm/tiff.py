@@ -1,13 +1,14 @@
 """TIFF media columns: walk the image directories of a file, decode its strips or tiles (none, PackBits,
 LZW, deflate), undo predictors, and emit one row per page; and a writer for the same forms.
 
-Reads both byte orders, classic files, chunky and planar samples of 8 bits (other depths: whole rows of
-bytes as stored), fill order 1, horizontal differencing (predictor 2) on 8-bit samples.  Sub-directories
-and thumbnails are not pages.
-
-Rules: null or empty media give no rows.  A damaged file gives the pages before the damage and one last
-row whose error column says what is wrong (samples null there); nothing raises.  A directory that was
-visited already ends the walk.  Equal media give equal rows.
+Reads both byte orders, classic files, chunky and planar samples of any depth (rows of bytes in the file's
+byte order), strips and tiles, fill order 1, horizontal differencing (predictor 2) on samples of 8, 16, 32 and 64
+bits and floating-point differencing (predictor 3) on samples of 16, 24, 32 and 64.  Sub-directories and
+thumbnails are not pages.
+
+Rules: null or empty media give no rows.  A page that is damaged or of another form gives a row whose error
+column says what is wrong (samples null there), and the walk goes on; it ends with such a row where a directory itself
+can't be read.  Nothing raises.  A directory that was visited already ends the walk.  Equal media give equal rows.
 """
 
 from __future__ import annotations
@@ -200,8 +201,14 @@ def pack(data: bytes, scheme: int) -> bytes:
 # ---- reader -------------------------------------------------------------------------------------
 
 
-def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
-    """Whole-number fields of the directory at that offset, and the next directory's offset."""
+def _next(data: bytes, at: int, order: str) -> int:
+    """The offset of the directory after the one at that offset."""
+    (n,) = struct.unpack_from(f"{order}H", data, at)
+    return struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+
+
+def _fields(data: bytes, at: int, order: str) -> dict[int, list[int]]:
+    """Whole-number fields of the directory at that offset."""
     (n,) = struct.unpack_from(f"{order}H", data, at)
     fields = {}
     for i in range(n):
@@ -215,10 +222,23 @@ def _fields(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int
         if place + each * count > len(data):
             raise ValueError(f"field {tag} lies outside the file")
         fields[tag] = np.frombuffer(data, f"{order}u{each}", count, place).tolist()
-    return fields, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+    return fields
+
 
+def _undo(block: np.ndarray, predictor: int, w: int, each: int, bits: int, order: str) -> np.ndarray:
+    """Rows of bytes without their predictor, in the file's byte order."""
+    rows, size = len(block), bits // 8
+    if predictor == 2:
+        kind = f"{order}u{size}"
+        sums = np.cumsum(block.view(kind).reshape(rows, w, each), axis=1, dtype=f"u{size}")
+        return sums.astype(kind).reshape(rows, -1).view(np.uint8)
+    if predictor == 3:  # bytes of a row are differences; the samples' first bytes stand before all second ones
+        planes = np.cumsum(block.reshape(rows, w * size, each), axis=1, dtype=np.uint8).reshape(rows, size, w * each)
+        return (planes if order == ">" else planes[:, ::-1]).transpose(0, 2, 1).reshape(rows, -1)
+    return block
 
-def _image(data: bytes, f: dict[int, list[int]]) -> tuple[int, int, int, int, int, bytes]:
+
+def _image(data: bytes, f: dict[int, list[int]], order: str) -> tuple[int, int, int, int, int, bytes]:
     """width, height, samples, compression, predictor and the samples of one directory."""
     width, height = f[WIDTH][0], f[HEIGHT][0]
     samples, scheme = f.get(SAMPLES, [1])[0], f.get(COMPRESSION, [NONE])[0]
@@ -231,14 +251,13 @@ def _image(data: bytes, f: dict[int, list[int]]) -> tuple[int, int, int, int, in
     h = f[TILE_HEIGHT][0] if tiled else min(height, f.get(ROWS_PER_STRIP, [height])[0])
     offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[OFFSETS], f[COUNTS])
     row = (w * each * bits + 7) // 8
-    if predictor not in (1, 2) or predictor == 2 and bits != 8:
+    if bits not in {1: [bits], 2: [8, 16, 32, 64], 3: [16, 24, 32, 64]}.get(predictor, []):
         raise ValueError(f"predictor {predictor} with {bits} bits is not supported")
-    if tiled and bits != 8:
-        raise ValueError("tiles of other than 8-bit samples are not supported")
+    loose = tiled and bits % 8 > 0  # put together bit by bit
     across, down = (-(-width // w), -(-height // h)) if height and width else (0, 0)
     if len(offsets) < across * down * planes:
         raise ValueError("blocks are missing")
-    out = np.zeros((planes, height, ((width * each * bits + 7) // 8)), np.uint8)
+    out = np.zeros((planes, height, width * each * bits if loose else (width * each * bits + 7) // 8), np.uint8)
     for k in range(across * down * planes):
         plane, r, c = k // (across * down), k // across % down, k % across
         rows = h if tiled else min(h, height - r * h)
@@ -248,15 +267,23 @@ def _image(data: bytes, f: dict[int, list[int]]) -> tuple[int, int, int, int, in
         if len(got) < rows * row:
             raise ValueError("a block ends early")
         block = np.frombuffer(got, np.uint8, rows * row).reshape(rows, row)
-        if predictor == 2:
-            block = np.cumsum(block.reshape(rows, w, each), axis=1, dtype=np.uint8).reshape(rows, row)
+        block = _undo(block, predictor, w, each, bits, order)
         rows = min(rows, height - r * h)
         if tiled:
-            x = c * w * each
-            out[plane, r * h : r * h + rows, x : x + row] = block[:rows, : out.shape[2] - x]
+            if loose:
+                block = np.unpackbits(block, axis=1, count=w * each * bits)
+            x = c * block.shape[1]
+            out[plane, r * h : r * h + rows, x : x + block.shape[1]] = block[:rows, : out.shape[2] - x]
         else:
             out[plane, r * h : r * h + rows] = block[:rows]
-    return width, height, samples, scheme, predictor, out.tobytes()
+    return width, height, samples, scheme, predictor, (np.packbits(out, axis=2) if loose else out).tobytes()
+
+
+_WRONG = (ValueError, KeyError, IndexError, ArithmeticError, struct.error, zlib.error, MemoryError)
+
+
+def _failed(page: int, e: Exception) -> tuple:
+    return page, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def read_pages(data: bytes) -> list[tuple]:
@@ -272,10 +299,13 @@ def read_pages(data: bytes) -> list[tuple]:
         seen = set()
         while at and at not in seen:
             seen.add(at)
-            fields, at = _fields(data, at, order)
-            pages.append((len(pages), *_image(data, fields), None))
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
-        pages.append((len(pages), None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            here, at = at, _next(data, at, order)
+            try:
+                pages.append((len(pages), *_image(data, _fields(data, here, order), order), None))
+            except _WRONG as e:
+                pages.append(_failed(len(pages), e))
+    except _WRONG as e:
+        pages.append(_failed(len(pages), e))
     return pages
 
 

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -55,6 +57,60 @@ def test_damaged_files_say_so():
         assert pages[-1][7] and len(pages) <= 2
 
 
+def tiff_file(order, pages):
+    """pages: (width, height, samples, bits, scheme, predictor, tile sides or None, blocks)."""
+    out, link = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0)), 4
+    for width, height, samples, bits, scheme, predictor, tile, blocks in pages:
+        offsets = []
+        for b in blocks:
+            offsets.append(len(out))
+            out += b
+        sizes = [len(b) for b in blocks]
+        fields = [(256, [width]), (257, [height]), (258, [bits]), (259, [scheme]), (277, [samples]), (317, [predictor])]
+        fields += [(322, [tile[0]]), (323, [tile[1]]), (324, offsets), (325, sizes)] if tile else [(273, offsets), (278, [height]), (279, sizes)]
+        entries = b""
+        for tag, values in sorted(fields):
+            data = struct.pack(f"{order}{len(values)}I", *values)
+            if len(values) > 1:
+                data, at = struct.pack(f"{order}I", len(out)), data
+                out += at
+            entries += struct.pack(f"{order}HHI", tag, 4, len(values)) + data
+        struct.pack_into(f"{order}I", out, link, len(out))
+        out += struct.pack(f"{order}H", len(fields)) + entries
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_predictors_of_deep_samples_and_tiles_of_any_depth(order):
+    r, zip_ = np.random.default_rng(3), zlib.compress
+    for size, samples in itertools.product((2, 4, 8), (1, 3)):
+        a = r.integers(0, 1 << 62, (5, 7, samples)).astype(f"{order}u{size}")
+        d = a.copy()
+        d[:, 1:] -= a[:, :-1]
+        assert tiff.read_pages(tiff_file(order, [(7, 5, samples, size * 8, 8, 2, None, [zip_(d.tobytes())])]))[0][6] == a.tobytes()
+        a = r.normal(size=(5, 7, samples)).astype(f"{order}f{size}")
+        planes = a.astype(f">f{size}").view(np.uint8).reshape(5, 7 * samples, size).transpose(0, 2, 1).reshape(5, -1)
+        d = planes.copy()
+        d[:, samples:] -= planes[:, :-samples]
+        assert tiff.read_pages(tiff_file(order, [(7, 5, samples, size * 8, 8, 3, None, [zip_(d.tobytes())])]))[0][6] == a.tobytes()
+    a = r.integers(0, 60000, (20, 40)).astype(f"{order}u2")
+    whole = np.pad(a, ((0, 12), (0, 8)), constant_values=9)
+    tiles = [whole[y : y + 16, x : x + 16].tobytes() for y in (0, 16) for x in (0, 16, 32)]
+    assert tiff.read_pages(tiff_file(order, [(40, 20, 1, 16, 1, 1, (16, 16), tiles)]))[0][6] == a.tobytes()
+    a = r.integers(0, 2, (20, 37)).astype(np.uint8)
+    whole = np.pad(a, ((0, 12), (0, 11)), constant_values=1)
+    tiles = [np.packbits(whole[y : y + 16, x : x + 16], axis=1).tobytes() for y in (0, 16) for x in (0, 16, 32)]
+    assert tiff.read_pages(tiff_file(order, [(37, 20, 1, 1, 1, 1, (16, 16), tiles)]))[0][6] == np.packbits(a, axis=1).tobytes()
+
+
+def test_a_page_of_another_form_ends_no_walk():
+    good = (2, 2, 1, 8, 1, 1, None, [b"abcd"])
+    pages = tiff.read_pages(tiff_file("<", [good, (2, 2, 1, 8, 7, 1, None, [b"jpeg"]), good, (2, 2, 1, 8, 8, 1, None, [b"bad"]), (2, 2, 1, 4, 1, 2, None, [b"ab"]), good]))
+    assert [p[0] for p in pages] == list(range(6)) and [p[6] for p in pages] == [b"abcd", None, b"abcd", None, None, b"abcd"] and [bool(p[7]) for p in pages] == [False, True, False, True, True, False]
+
+
 def test_op1_columns(spark, docs):
     stored = tiff.store_as_tiff(docs(ODD))
     got = rows(tiff.tiff_pages(stored, keys=("doc_id", "n_bytes")).select("doc_id", "n_bytes", "samples", "error"))
