@@ -23,8 +23,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a longest run of 32 and more
+_LONG = r"pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private)[_-]?key|bearer|credentials?"
+#: A credential word with a sign or "is" after it, and the value.  Before a sign the word may end a longer name (dbPassword); pass and
+#: auth only behind a non-letter or as a part in camel case, as compass and others end so too.
 CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private)[_-]?key|auth|bearer|credentials?)["']?[\x20\t]*(?:=>|:=|->|[:=]|\x20(is|was)\x20)[\x20\t]*["'`]?([^\s"'`<>,;]{6,})""",
+    rf"""(?:(?:{_LONG}|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|auth))["']?[\x20\t]*(?:=>|:=|->|[:=])|(?<![a-z])(?:{_LONG}|pass|auth)["']?[\x20\t]*\x20(is|was)\x20)[\x20\t]*["'`]?([^\s"'`<>,;]{{6,}})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Some of these stands in every text that ASSIGN or CONTEXT can match.

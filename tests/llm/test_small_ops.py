@@ -203,6 +203,15 @@ def test_secret_frames(docs):
     assert [r[0] for r in rows(secrets.scan_secrets(docs(ODD)))] == [i for i, _ in ODD]
 
 
+def test_credential_words_that_end_a_longer_name():
+    value = "q7!Zx@92#Lm$w"
+    for form in ('clientSecret = "{}"', 'dbPassword="{}"', 'accessToken: "{}"', "DB_PASSWORD={}", "MYAPIKEY={}", "dbPass={}", "userAuth: {}", "secretAccessKey => '{}'", "my password is {}"):
+        t = "say " + form.format(value) + " and go"
+        assert [(k, t[a:b]) for k, a, b in secrets.find_secrets(t) if k == "guess"] == [("guess", value)], t
+    for form in ("compass: {}", "bypass={}", "OAUTH={}", "mypassword is {}"):
+        assert secrets.find_secrets(form.format(value)) == [], form
+
+
 # ---- words
 
 
