@@ -30,6 +30,8 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the second kind ends where one of the first begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
+#: What may stand in a head.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
@@ -44,15 +46,32 @@ class Page:
         self.parent, self.tag, self.names = [-1], ["html"], [()]
         self.texts: list[tuple[int, str, int]] = []
         self._stack, self._links, self._parts, self._linked = [0], 0, [], 0
+        self._body = False
         self._read(html or "")
 
     def _flush(self) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             if text:
-                self.texts.append((self._stack[-1], text, self._linked))
+                self._in_body()
+                block = self._stack[-1]
+                if self.tag[block] in ("html", "body"):  # text straight in the body is a paragraph without tags
+                    self.parent.append(block)
+                    self.tag.append("p")
+                    self.names.append(())
+                    block = len(self.tag) - 1
+                self.texts.append((block, text, self._linked))
             self._parts, self._linked = [], 0
 
+    def _in_body(self) -> None:
+        """A page whose body has no tag has a body all the same."""
+        if not self._body:
+            self._body = True
+            self.parent.append(0)
+            self.tag.append("body")
+            self.names.append(())
+            self._stack.append(len(self.tag) - 1)
+
     def _text(self, raw: str) -> None:
         if raw:
             t = entities.unescape(raw) if "&" in raw else raw
@@ -64,6 +83,10 @@ class Page:
         self._flush()
         if tag in ("html", "body") and tag in (self.tag[i] for i in self._stack):
             return
+        if tag == "body":
+            self._body = True
+        elif tag != "html":
+            self._in_body()
         stack = self._stack
         ends = CLOSES.get(tag)
         if ends:
@@ -129,22 +152,46 @@ class Page:
 
     @staticmethod
     def _skip(s: str, at: int, tag: str) -> int:
-        """Past the end of an element that never counts.  A head also ends where the body begins."""
+        """Past the end of an element that never counts."""
         if tag == "head":
-            m = re.compile(r"</head\s*>|(?=<body[\s>])", re.IGNORECASE).search(s, at)
-        else:
-            m = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.IGNORECASE).search(s, at)
-            if m is None and tag not in RAW:
-                return at
+            return Page._skip_head(s, at)
+        m = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.IGNORECASE).search(s, at)
+        if m is None and tag not in RAW:
+            return at
         return m.end() if m else len(s)
 
+    @staticmethod
+    def _skip_head(s: str, at: int) -> int:
+        """Past </head>, or before the first text or tag that can't stand in a head."""
+        while at < len(s):
+            if s[at].isspace():
+                at += 1
+            elif s.startswith(("<!", "<?"), at):
+                end = s.find("-->", at + 4) + 2 if s.startswith("<!--", at) else s.find(">", at)
+                if end < at + 2:
+                    return len(s)
+                at = end + 1
+            else:
+                m = _TAG.match(s, at)
+                if m is None:
+                    return at
+                closing, tag = bool(m[1]), m[2].lower()
+                if tag not in HEAD | {"head"} if not closing else tag in ("body", "html", "br"):
+                    return at
+                at = m.end()
+                if closing and tag == "head":
+                    return at
+                if not closing and tag in HIDDEN and tag != "head":
+                    at = Page._skip(s, at, tag)
+        return at
+
 
 # ---- potentials ---------------------------------------------------------------------------------
 
 _TAGS = {t: i for i, t in enumerate(sorted(BLOCKS))}
 _SIZES = np.array([1, 4, 11, 26, 61, 200])
 _BASE = 1 + len(_TAGS)  # bias, tags
-_LAYOUT = [7, 7, 5, 5, 3, 6]  # own words, words below, own links, links below, sentences, depth
+_LAYOUT = [7, 7, 5, 5, 3, 6, 4]  # own words, words below, own links, links below, sentences, depth, straight in the body by kind
 FEATURES = _BASE + sum(_LAYOUT) + NAME_SLOTS
 #: Kinds of children: text, container, list or table part.
 _GROUP = {t: 0 for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "figcaption")} | {t: 2 for t in ("li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "ul", "ol", "dl", "table")}
@@ -190,6 +237,10 @@ class Forest:
         columns = [np.searchsorted(_SIZES, words, "right"), np.searchsorted(_SIZES, below[:, 0], "right"), share(links, chars), share(below[:, 1], below[:, 2]), np.minimum(ends, 2).astype(int), np.minimum(depth, 5)]
         for k in (0, 1, 4):  # a paragraph's or item's length says nothing, and dozens of them would say it loudly
             columns[k] = np.where(self.group == 1, columns[k], 0)
+        body = np.array([t == "body" for t in tags], bool)
+        straight = (self.parent >= 0) & body[self.parent]
+        columns.append(np.where(straight, 1 + self.group, 0))
+        self.group[straight] = 1  # a body says no more of a paragraph straight in it than of a container
         starts = _BASE + np.cumsum([0, *_LAYOUT[:-1]])
         fixed = np.stack([np.zeros(n, int), 1 + tag, *[s + c for s, c in zip(starts, columns)]], 1)
         named = [(i, _BASE + sum(_LAYOUT) + _slot(w)) for i, ws in enumerate(w for p in pages for w in p.names) for w in set(ws)]
@@ -334,19 +385,28 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
                 return "<table>" + "".join(f"<tr><td>{keep(words(2))}</td><td>{keep(words(3))}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
             return f"<section>{piece()}{piece()}</section>"
 
+        wrap = r.choice(["<article>{0}</article>"] * 4 + ["<main>{0}</main>", "<main><article>{0}</article></main>", "<div class=content>{0}</div>", "<div id=main-content><div class=post-body>{0}</div></div>", "<article class=post><div class=entry-content>{0}</div></article>", "<section class=article-body>{0}</section>", "<div class='story article-text'>{0}</div>"] + ["{0}"] * 3)
+        loose = wrap == "{0}" and r.random() < 0.4  # text without elements, straight in the body
+
+        def stretch() -> str:
+            lines = [running() for _ in range(r.randint(1, 4))]
+            keep(" ".join(lines))
+            return r.choice(["<br>", "<br><br>"]).join(lines) + "<hr>"
+
         top = "".join(clutter("top") for _ in range(r.randint(0, 4)))
         body = f"<h1>{keep(sentence(1, 9))}</h1>" if r.random() < 0.8 else ""
         for _ in range(r.choice([0, 1, 2, 4, 8, 14, 30, 60])):
-            body += piece()
+            body += stretch() if loose else piece()
             if r.random() < 0.12:
                 body += clutter("in")
-        wrap = r.choice(["<article>{0}</article>"] * 4 + ["<main>{0}</main>", "<main><article>{0}</article></main>", "<div class=content>{0}</div>", "<div id=main-content><div class=post-body>{0}</div></div>", "<article class=post><div class=entry-content>{0}</div></article>", "<section class=article-body>{0}</section>", "<div class='story article-text'>{0}</div>"])
         inside = clutter("end") if r.random() < 0.15 else ""
         body = wrap.replace("{0}", body + inside)
         end = "".join(clutter("end") for _ in range(r.randint(0, 5)))
         frame = r.choice(["{0}{1}{2}"] * 3 + ["<div class=wrapper>{0}{1}{2}</div>", "<div id=page>{0}<div class=container>{1}</div>{2}</div>"])
+        if wrap == "{0}":
+            frame = "{0}{1}{2}"
         page = frame.replace("{0}", top).replace("{2}", end).replace("{1}", body)
-        page = f"<!DOCTYPE html><html lang=en><head><title>{words(3)}</title></head><body>{page}</body></html>"
+        page = f"<!DOCTYPE html><html lang=en><head><title>{words(3)}</title>{r.choice(['</head><body>', '</head><body>', '</head><body>', '</head>', '<body>'])}{page}</body></html>"
         if r.random() < 0.1:
             page = page[: r.randint(len(page) * 3 // 4, len(page))]
         out.append((page, good))
@@ -354,7 +414,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
 
 
 def truth_of(page: Page, good: list[str]) -> np.ndarray:
-    """A block is content if it has text of its own, all of it content; without own text, if all its children are."""
+    """A block is content if it has text of its own, all of it content; without own text, if all its children are.  A
+    body never is: its own text stands in paragraphs."""
     wanted = {" ".join(g.split()) for g in good}
     own: dict[int, list[bool]] = {}
     for block, t, _ in page.texts:

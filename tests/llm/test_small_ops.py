@@ -332,6 +332,24 @@ def test_messy_pages():
     assert html.fitted().texts([html.Page(x) for x in (None, "", "<", "</", "<>", "<p", "<!--", "a < b", "<script>")])[1] == ""
 
 
+def test_pages_without_head_end_or_body():
+    text = ["A plain line of the text goes here and on.", "Another one follows it, as long as the first was."]
+    inside = f"<nav class=menu><ul><li><a href='/'>Home</a><li><a href='/b'>More</a></ul></nav><article><h1>Title</h1><p>{text[0]}</p><p>{text[1]}</p></article><footer class=footer>&copy; x</footer>"
+    m, want = html.fitted(), "\n".join(["Title", *text])
+    heads = ["<head><title>no</title></head><body>", "<head><title>no</title><meta charset=utf8><!-- </head> --><style>p{}</style>", "<head><title>no</title><script>'<p>'</script><body>", "<title>no</title>", ""]
+    for head in heads:
+        assert m.texts([html.Page(f"<!doctype html><html>{head}{inside}")]) == [want], head
+    assert html.Page("<head><meta name=a>Words at once").texts == [(2, "Words at once", 0)]
+
+
+def test_content_straight_in_body():
+    m = html.fitted()
+    text = "The first line of it has some words. The next one has more of them, and it ends here."
+    for body in (f"<p>{text}</p><p>{text}</p><p>{text}</p>", f"{text}<br><br>{text}<br>{text}", f"<h1>Title</h1>{text}<br><br>{text}"):
+        got = m.texts([html.Page(f"<html><head><title>x</title></head><body><nav class=menu><ul><li><a href=/>Home page</a></li><li><a href=/b>More of it</a></li></ul></nav>{body}<footer class=footer><p>Some words.</p></footer></body></html>")])[0]
+        assert got.count(text) == body.count(text) and "Home" not in got and "Some words" not in got, (body, got)
+
+
 def test_inference_by_brute_force():
     m = html.Model()
     r = np.random.default_rng(1)
