@@ -3,11 +3,12 @@ r"""Benchmark decontamination by a prefix-filtered join of word windows.
 Every window of an item is a set of (word, place).  Words are ordered by rarity, counted over all documents;
 as a window must be contained in full, its prefix has length one: its rarest word.  A document word joins the
 windows whose prefix it is; the place of the word in the window fixes where the window would begin, the
-lengths bound that place, and what is left is verified word by word.
+lengths bound that place, and what is left is verified word by word.  Words are compared as they are, not by hashes.
 
-The items are taken in blocks of about BLOCK_BYTES of text, whose index is broadcast; benchmarks of
-one block (the usual case) cost one pass for the counts and one for the join, without a shuffle of texts.  More blocks
-write the documents to the shared folder after each.
+The items are taken in blocks of about BLOCK_BYTES of text, whose index is broadcast (an item that is longer goes in pieces that overlap by
+a window less one word); benchmarks of one block (the usual case) cost one pass for the counts and one for the join, without a shuffle of
+texts.  Of more blocks each reads the documents twice and writes the hits alone, which then meet their documents in a join by doc_id and a
+digest of the text.
 
 Rules: words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z; null or empty texts have
 none and no hits.  Items with a null id or without words are left out; an item_id in several rows counts once.
@@ -16,28 +17,31 @@ An item of fewer words than a window is one window.  Repeated documents are each
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ddl, kind, map_rows, pick, ship, spread, written
-from .words import WORD_BYTES, word_hashes
+from .words import WORD_BYTES, words
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
 
 
 class Index:
-    """Windows of one block of items.  words: sorted hashes; flat: the word numbers of all windows, one
+    """Windows of one block of items.  number: of each word; flat: the word numbers of all windows, one
     after the other from start[w], size[w] of them; items of window w: owner[first[w]:first[w + 1]]."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         parts: dict[bytes, set[int]] = {}
         self.ids = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.ids)}
-        hashes = [(number[i], word_hashes(t, WORD_BYTES)) for i, t in items]
-        self.words = np.unique(np.concatenate([h for _, h in hashes] or [np.zeros(0, np.uint64)]))
-        for i, h in hashes:
-            w = np.searchsorted(self.words, h).astype(np.int32)
+        own = {i: k for k, i in enumerate(self.ids)}
+        lists = [(own[i], words(t, WORD_BYTES)) for i, t in items]
+        self.number = {w: k for k, w in enumerate(sorted({w for _, ws in lists for w in ws}))}
+        for i, ws in lists:
+            w = self.lookup(ws)
             for at in range(max(1, len(w) - window + 1) if len(w) else 0):
                 parts.setdefault(w[at : at + window].tobytes(), set()).add(i)
         self.size = np.array([len(p) // 4 for p in parts], np.int64)
@@ -49,20 +53,16 @@ class Index:
 
     def order(self, counts: np.ndarray) -> None:
         """Choose every window's rarest word, given how many documents have each word."""
-        rank = np.empty(len(self.words), np.int64)
-        rank[np.lexsort((self.words, counts))] = np.arange(len(self.words))
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
         self.offset = np.array([int(np.argmin(rank[self.flat[s : s + n]])) for s, n in zip(self.start, self.size)], np.int64)
         prefix = self.flat[self.start + self.offset] if len(self.start) else np.zeros(0, np.int64)
         self.window = np.argsort(prefix, kind="stable")  # windows by prefix word
-        self.begin = np.searchsorted(prefix[self.window], np.arange(len(self.words) + 1))
+        self.begin = np.searchsorted(prefix[self.window], np.arange(len(counts) + 1))
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+    def lookup(self, words: list[bytes]) -> np.ndarray:
         """Word numbers, -1 for words of no item."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, -1)
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
 
     def search(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and window of every occurrence in a document of these word numbers."""
@@ -89,77 +89,123 @@ class Index:
         return np.concatenate(found_at or [none]), np.concatenate(found or [none])
 
 
+    def hits(self, w: np.ndarray) -> tuple[list[dict], list[str]]:
+        """The words inside windows, as disjoint ranges, and the items of the windows, sorted."""
+        at, win = self.search(w)
+        if not len(at):
+            return [], []
+        owners = np.unique(np.concatenate([self.owner[self.first[v] : self.first[v + 1]] for v in np.unique(win)]))
+        return _union(at, at + self.size[win], len(w)), sorted(self.ids[o] for o in owners)
+
+
+def _union(begins: np.ndarray, ends: np.ndarray, n: int) -> list[dict]:
+    """The union of ranges below n, as disjoint ranges."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, ends, -1)
+    edge = np.diff(np.concatenate([[0], np.cumsum(change) > 0]).astype(np.int8))
+    return [{"begin": a, "end": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+
+
 def _count(docs: DataFrame, index: Index, text: str) -> np.ndarray:
     """How many documents have each word of the index: summed in each task, then by word.  What comes to
     the driver is bounded by the words of the block."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(index.words)
+    shared = spark.sparkContext.broadcast(index.number)
 
     def run(batches):
         import pyarrow as pa
 
-        words = shared.value
-        total = np.zeros(len(words), np.int64)
         own = Index.__new__(Index)
-        own.words = words
+        own.number = shared.value
+        total = np.zeros(len(own.number), np.int64)
         for b in batches:
             for t in b.column(0):
-                w = own.lookup(word_hashes(t.as_py(), WORD_BYTES))
+                w = own.lookup(words(t.as_py(), WORD_BYTES))
                 total[np.unique(w[w >= 0])] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["word", "n"])
 
     rows = pick(docs, text).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(index.words), np.int64)
+    counts = np.zeros(len(index.number), np.int64)
     for r in rows:
         counts[r["word"]] = r["n"]
     return counts
 
 
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """i and t of items, those of more than `most` bytes in pieces of about so many that share window - 1 words with the next."""
+
+    def row(i, t):
+        if len(t) * 4 <= most or len(t.encode()) <= most:
+            return [(i, t)]
+        own = words(t, WORD_BYTES)
+        place = np.cumsum([len(w) + 1 for w in own])
+        cuts = np.flatnonzero(np.diff(place // most)) + 1
+        return [(i, b" ".join(own[a : b + window - 1]).decode()) for a, b in zip([0, *cuts], [*cuts, len(own)])]
+
+    return map_rows(items, "i string, t string", lambda: row, many=True).distinct()
+
+
+_HITS = "hits array<struct<begin: long, end: long>>, items array<string>"
+
+
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_words, hits (array of struct begin, end: the hit words, as disjoint ranges), items
     (array of item ids as strings, sorted) and the columns to carry, a row for every row of docs."""
     spark = docs.sparkSession
     own = pick(items, item_id, item_text).toDF("i", "t").where("i is not null and t is not null").select(F.col("i").cast("string").alias("i"), "t")
-    total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    own = _pieces(own, window, block_bytes)
+    blocks = max(1, -(-(own.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
     docs = pick(docs, doc_id, text, *carry)
-    id_kind, more = kind(docs, doc_id), ddl(docs, carry)
-    empty = "cast(array() as array<struct<begin: long, end: long>>) as hits"
-    out = docs.selectExpr(f"`{doc_id}`", f"`{text}`", "0L as n_words", empty, "cast(array() as array<string>) as items", *[f"`{c}`" for c in carry])
-    for k in range(blocks):
-        part = own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else own
-        index = Index([(r["i"], r["t"]) for r in part.distinct().collect()], window)
+    whole = f"`{doc_id}` {kind(docs, doc_id)}, `{text}` string, n_words long, {_HITS}{ddl(docs, carry)}"
+
+    def index_of(part: DataFrame):
+        index = Index([(r["i"], r["t"]) for r in part.collect()], window)
         index.order(_count(docs, index, text))
-        shared = spark.sparkContext.broadcast(index)
+        return spark.sparkContext.broadcast(index)
+
+    if blocks == 1:
+        shared = index_of(own)
+
+        def make():
+            x = shared.value
+
+            def row(i, t, *rest):
+                w = x.lookup(words(t, WORD_BYTES))
+                return i, t, len(w), *x.hits(w), *rest
+
+            return row
+
+        return map_rows(docs, whole, make)
+
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("t"), F.sha2(F.col(f"`{text}`"), 256).alias("k"))
+    found = []
+    for b in range(blocks):
+        shared = index_of(own.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b))
 
         def make(shared=shared):
             x = shared.value
 
-            def row(i, t, _, hits, had, *rest):
-                w = x.lookup(word_hashes(t, WORD_BYTES))
-                at, win = x.search(w)
-                if len(at):
-                    change = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + x.size[win], -1)
-                    for h in hits:
-                        change[h["begin"]] += 1
-                        change[h["end"]] -= 1
-                    edge = np.diff(np.concatenate([[0], np.cumsum(change) > 0]).astype(np.int8))
-                    hits = [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-                    win = np.unique(win)
-                    owners = np.unique(np.concatenate([x.owner[x.first[v] : x.first[v + 1]] for v in win]))
-                    had = sorted({*had, *(x.ids[o] for o in owners)})
-                return i, t, len(w), hits, had, *rest
+            def row(i, t, k):
+                hits, had = x.hits(x.lookup(words(t, WORD_BYTES)))
+                return [(i, k, hits, had)] if hits else []
 
             return row
 
-        out = map_rows(out, f"`{doc_id}` {id_kind}, `{text}` string, n_words long, hits array<struct<begin: long, end: long>>, items array<string>{more}", make)
-        if k + 1 < blocks:
-            out = written(out, "decontaminate")
-    return out
+        found.append(written(map_rows(keyed, f"i {kind(keyed, 'i')}, k string, {_HITS}", make, many=True), "hits"))
+        shared.unpersist()
+    # rows of one doc_id and text have the same hits
+    every = reduce(DataFrame.unionByName, found).groupBy("i", "k").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    met = docs.withColumn("digest_", F.sha2(F.col(f"`{text}`"), 256)).alias("d").join(every.alias("e"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("e.i")) & (F.col("d.digest_") == F.col("e.k")), "left")
+
+    def merged(i, t, hits, had, *rest):
+        n = len(words(t, WORD_BYTES))
+        begins, ends = (np.array([h[e] for h in hits or []], np.int64) for e in ("begin", "end"))
+        return i, t, n, _union(begins, ends, n), sorted(had or []), *rest
+
+    return map_rows(met.select(f"d.`{doc_id}`", f"d.`{text}`", "e.hits", "e.items", *[f"d.`{c}`" for c in carry]), whole, lambda: merged)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

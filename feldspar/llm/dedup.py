@@ -12,6 +12,9 @@ that no other node of such buckets has is outside every intersection, and so is
 lacks.  So no link between components is lost,
 and what is compared follows the members that the bound leaves, not the square of the bucket.
 
+Shingles are 64-bit hashes (see words.py); the sets that are compared are whole.  The tables in between are deleted when the result has been
+written; that goes when the application ends.
+
 Rules: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer words than a shingle is one shingle;
 null texts and those without words have none and link with nothing.  Rows of one doc_id are one node.  A null doc_id
 links with nothing, has component_id null and is kept.
@@ -173,11 +176,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     second = written(_verify(pairs, sets, percent), "linked")
     remove(labels)
     labels = components(first.union(second))
-    remove(nodes, buckets, central, sets, first, pool, halved, able, second)  # member, sketched and labels make the result
-
     own = member.join(labels.toDF("node", "c"), "node", "left").select("id", "n", F.coalesce("c", "node").alias("component"))
     rest = sketched.where("id is null or `set` is null").select("id", "n", F.col("id").alias("component"))
-    return own.union(rest).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    result = own.union(rest).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    result = written(result, "components")
+    remove(sketched, nodes, member, buckets, central, sets, first, pool, halved, able, second, labels)
+    return result
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
-"""Words of a text as 64-bit hashes, by whole-array operations on its UTF-8 bytes."""
+"""Words of a text: as bytes, and as 64-bit hashes for shingles.
+
+The hash of a word of up to eight bytes is a bijection of its bytes; that of a longer one is its BLAKE2b digest, so that no rule makes
+two different words alike.  That any two of n long words or shingles are alike is a chance of n * n / 2 ** 65."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Digests of longer words that a worker keeps, and bytes of the longest word among them.
+KNOWN, LONGEST = 200_000, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -17,54 +22,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-with np.errstate(over="ignore"):
-    _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as the longest text so far."""
+def table(ranges: list[tuple[int, int]]) -> bytes:
+    """For each byte what to search words in: A-Z in lower case, and a blank for bytes that, lower-cased, are in none of the ranges."""
+    low = [b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)]
+    return bytes(b if any(x <= b <= y for x, y in ranges) else 0x20 for b in low)
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def reach(self, n: int) -> None:
-        while len(self.up) <= n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, k, 1 << 64))])
+#: `[^\x20\x09-\x0D]+` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`
+NOT_SPACE = table([(0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF)])
+WORD_BYTES = table([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 
 
-_powers = _Powers()
+def words(text: str | None, member: bytes) -> list[bytes]:
+    """Every word in UTF-8, A-Z lower-cased, in order.  (The table has made blanks of \\x09-\\x0D, where split() splits too.)"""
+    return text.encode("utf-8", "surrogatepass").translate(member).split() if text else []
 
 
-def table(ranges: list[tuple[int, int]]) -> np.ndarray:
-    """Which bytes, after lower-casing A-Z, belong to words."""
-    t = np.zeros(256, bool)
-    for a, b in ranges:
-        t[a : b + 1] = True
-    return t
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST:
+            self[word] = h
+        return h
 
 
-#: `[^\x20\x09-\x0D]+` and `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`
-NOT_SPACE = ~table([(0x20, 0x20), (0x09, 0x0D)])
-WORD_BYTES = table([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
+_digests = _Digests()
+#: For each length up to eight: the bits of so many bytes, and what tells lengths apart (a word has no byte 0x20).
+_BITS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_BLANKS = np.uint64(0x2020202020202020)
 
 
-def word_hashes(text: str | None, member: np.ndarray) -> np.ndarray:
-    """The hash of every word, A-Z lower-cased, in order."""
+def word_hashes(text: str | None, member: bytes) -> np.ndarray:
+    """The hash of every word, in order."""
     if not text:
         return np.zeros(0, np.uint64)
-    data = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    data = text.encode("utf-8", "surrogatepass").translate(member)
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = member[data]
+    inside[1:-1] = np.frombuffer(data, np.uint8) != 0x20
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    _powers.reach(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers.up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers.down[starts])
+    size = ends - starts
+    eight = np.ndarray(len(data), "<u8", data + bytes(8), 0, (1,))  # the eight bytes from each place on
+    bits = _BITS[np.minimum(size, 8)]
+    h = mix((eight[starts] & bits | _BLANKS & ~bits) + _STEP)
+    long_ = np.flatnonzero(size > 8)
+    h[long_] = [_digests[data[a:b]] for a, b in zip(starts[long_].tolist(), ends[long_].tolist())]
+    return h
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -75,6 +82,6 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     k = min(size, n)
     h = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        h = mix(h * np.uint64(_BASE) + words[i : n - k + 1 + i])
+        h = mix(h * _STEP + words[i : n - k + 1 + i])
     h.sort()
     return h[np.concatenate([[True], h[1:] != h[:-1]])]

@@ -76,6 +76,32 @@ def test_near_duplicates(docs, seed):
             assert r["component_id"] == r["doc_id"]
 
 
+def parity(n, flip=0):
+    """Words of n letters that a polynomial modulo 2 ** 64 can't tell apart."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_long_words_that_differ_everywhere(spark, docs):
+    for n in (1024, 4096):
+        one, other = (" ".join(["same words before", parity(n, k), "and after"]) for k in (0, 1))
+        got = dedup.near_duplicates(docs([(1, one), (2, other), (3, one)]), size=3, percent=85, halves=8).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+        items = spark.createDataFrame([("x", one), ("y", parity(n))], "item_id string, text string")
+        hits = decontaminate.find_items(docs([(1, one), (2, other), (3, parity(n, 1))]), items).collect()
+        assert {r["doc_id"]: r["items"] for r in hits} == {1: ["x", "y"], 2: [], 3: []}
+
+
+def test_long_items_go_in_pieces(spark, docs):
+    """An item longer than a block, and its windows that lie across the cuts."""
+    r = random.Random(3)
+    w = [f"w{r.randrange(90)}" for _ in range(700)]
+    table = spark.createDataFrame([("long", " ".join(w)), ("short", "w1 w2")], "item_id string, text string")
+    assert decontaminate._pieces(table.toDF("i", "t"), 10, 400).count() > 5
+    rows = [(i, " ".join(w[i : i + 10 + i % 3])) for i in range(0, 690, 7)] + [(1000, " ".join(w)), (1001, " ".join(w[5:14]))]
+    got = decontaminate.find_items(docs(rows), table, block_bytes=400).collect()
+    assert {x["doc_id"]: (x["n_words"], sum(h["end"] - h["begin"] for h in x["hits"]), x["items"]) for x in got} == {i: brute_hits(t, [("long", " ".join(w)), ("short", "w1 w2")]) for i, t in rows}
+
+
 def test_near_duplicates_of_nothing(docs):
     assert dedup.near_duplicates(docs([])).count() == 0
     assert [tuple(r) for r in dedup.near_duplicates(docs([(1, None)])).collect()] == [(1, 0, 1, True)]
@@ -143,7 +169,8 @@ def test_decontamination(spark, docs, block_bytes):
             at = r.randint(0, len(w))
             w[at:at] = v[: r.randint(0, len(v))]
         rows.append((i, r.choice([" ", ", ", "\n"]).join(w)))
-    table = spark.createDataFrame(items, "item_id long, text string")
+    rows += rows[-9:]
+    table = spark.createDataFrame([(*x, "clash", 1.0) for x in items], "item_id long, text string, ITEM_ID string, doc_id double")
     got = decontaminate.find_items(docs(rows), table, block_bytes=block_bytes).collect()
     show = lambda i, n, h, f: (i or -1, n, h, list(f))
     assert sorted(show(x["doc_id"], x["n_words"], sum(h["end"] - h["begin"] for h in x["hits"]), x["items"]) for x in got) == sorted(show(i, *brute_hits(t, items)) for i, t in rows)
