@@ -36,35 +36,45 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a temporary one is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only where that is unset and the session runs on this
+    machine alone (tests) a temporary one is made and set; on a cluster it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="feldspar-shared")
-        sc.setCheckpointDir(found)
-    elif sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
+def _place(df: DataFrame):
+    """Path and file system of a table made by written()."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._feldspar_path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage, and lost executors
-    cost only what they were working on."""
+    cost only what they were working on.  remove() deletes it, at the latest the end of the application does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/feldspar-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._feldspar_path = path
+    where, files = _place(out)
+    files.deleteOnExit(where)
     return out
 
 
 def remove(*tables: DataFrame) -> None:
     """Delete tables made by written()."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._feldspar_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _place(df)
+        files.delete(path, True)
+        files.cancelDeleteOnExit(path)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -161,11 +171,10 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def sample_of_labels(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """At most per_class labelled texts of each class, those with the smallest hashed ids among
-    the rows that keep admits, cut to chars characters: (text, label), in the order of the ids.  Only
-    for fitting; its bound is 2 * per_class * chars characters.  A document with several labels
-    takes the smallest."""
+def sample_of_labels(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """At most per_class labelled texts of each class, whole, those with the smallest hashed ids among the rows that keep
+    admits: (text, label), in the order of the ids.  Only for fitting; its bound is 2 * per_class texts.  A document with several
+    labels takes the smallest, an id with several texts the first of them by their digests; a null text is an empty one."""
     own = pick(labels, doc_id, label).where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & keep)
     own = own.groupBy(doc_id).agg(F.min(label).alias("label_"))
     some = None
@@ -173,5 +182,6 @@ def sample_of_labels(docs: DataFrame, labels: DataFrame, label: str, keep: Colum
         top = own.where(F.col("label_") == v).orderBy(F.xxhash64(F.col(doc_id).cast("string")), F.col(doc_id)).limit(per_class)
         some = top if some is None else some.unionByName(top)
     got = pick(docs, doc_id, text).join(F.broadcast(some), doc_id)  # at most 2 * per_class rows
-    rows = got.select(doc_id, F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars).alias("t"), "label_").orderBy(doc_id, "t").collect()
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = got.groupBy(doc_id, "label_").agg(F.min_by(t, F.sha2(t, 256)).alias("t")).orderBy(doc_id).collect()
     return [(r["t"], r["label_"]) for r in rows]

@@ -2,8 +2,7 @@
 built from bad labelled texts; the difference of the sizes for each byte becomes a calibrated score.
 
 A text is compressed in blocks of BLOCK bytes, all of them, so that the dictionary and not the text's own
-beginning explains each block.  Fitting takes a bounded sample (PER_CLASS texts of each label, SAMPLE_CHARS
-characters of each): half of it builds the dictionaries, the other half calibrates the difference by a
+beginning explains each block.  Fitting takes a bounded sample (PER_CLASS whole texts of each label): half of it builds the dictionaries, the other half calibrates the difference by a
 one-dimensional logistic curve, so that the curve sees differences as of unknown texts.
 
 Rules: a null or empty text has no evidence and scores the share of label 1.  With no labels of one
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import fold, keep_rows, kind, map_rows, pick, sample_of_labels, spread
 
 BLOCK, LEVEL, DICT_BYTES = 2048, 3, 64 << 10
-PER_CLASS, SAMPLE_CHARS = 800, 8000
+PER_CLASS = 800
 THRESHOLD = 0.7
 #: A text of so many bytes counts half by its own difference and half by the prior.
 PRIOR_BYTES = 64
@@ -69,7 +68,7 @@ def dictionary(texts: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts, k=256, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(parts)[-DICT_BYTES:]
+        return b"".join(parts)
 
 
 def weight(n: int) -> float:
@@ -123,7 +122,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train=None, per_class: int =
     train = F.lit(True) if train is None else train
     counts = dict(pick(labels, "doc_id", label).where(train & F.col(label).isin(0, 1)).groupBy(label).count().collect())
     prior = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    return fit(sample_of_labels(docs, labels, label, train, per_class, SAMPLE_CHARS), prior)
+    return fit(sample_of_labels(docs, labels, label, train, per_class), prior)
 
 
 def score_quality(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,15 +4,17 @@ A word's vector is an embedding, the attention-pooled states of a network over i
 it and its character n-grams have between the windows of the classes (counted for each half of the sample on the
 other half, so that no word explains its own text).  A second
 network reads the words of a window, its states are pooled by attention, and a logistic unit scores the
-window.  All overlapping windows of WINDOW words, STEP apart, are scored; the mean and the largest of their log odds give
+window.  All overlapping windows of WINDOW words, STEP apart, are scored; the mean and the largest of their log odds and the share above 0 give
 the document's score by a small logistic fit.  Everything is numpy, training included; a word's part is computed
 once for each distinct word that a worker meets and kept for a while.
 
-Fitting takes a bounded sample: PER_CLASS labelled texts of each class, SAMPLE_CHARS characters of each.
+Fitting takes a bounded sample, PER_CLASS labelled texts of each class, whole: all their windows count for the log odds, train the
+networks (the windows of a text weigh as much as those of any other) and give the document's fit.
 
 Rules: words are runs of letters, digits and underscores, lower-cased; runs over LONGEST characters go on as
 further words, so that no character is left out.  Null texts and those without words are one empty window.  Without labels of
-both classes the score is the share of label 1.  Equal texts get equal scores.
+both classes the score is the share of label 1.  Matrices have the same shapes whatever is scored together, and shut steps change
+nothing at all, so on machines of one kind equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import fold, kind, pick, sample_of_labels, ship, spread
 
 WINDOW, STEP, LONGEST = 64, 32, 32
-PER_CLASS, SAMPLE_CHARS = 500, 4000
-#: Windows of a text that train the networks (all of the sample's count for the log odds and the last fit).
-TRAINED = 3
+PER_CLASS = 500
+#: Words and windows that are computed together; fewer are filled up.
+TOGETHER = 512
 HIDDEN, CHAR_SLOTS, CHAR_DIM, WORD_SLOTS, WORD_DIM = 8, 256, 8, 4096, 6
 #: Sizes of the character n-grams; windows that a gram needs to count; inputs that grams give.
 GRAMS, OFTEN, ODDS = (4, 5, 6, 7), 5, 3
@@ -42,7 +44,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _sigmoid(x):
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+    """(exactly 0 below -89, where the exponential overflows)"""
+    with np.errstate(over="ignore"):
+        return np.float32(1) / (np.float32(1) + np.exp(-x))
+
+
+#: Input of an update gate that shuts it.
+SHUT = np.float32(-1e4)
 
 
 def gru(x: np.ndarray, u: np.ndarray, back: bool) -> tuple[np.ndarray, list]:
@@ -101,20 +109,34 @@ def grams(word: str) -> set[str]:
     return {s[i : i + n] for n in GRAMS for i in range(len(s) - n + 1)} | {s}
 
 
-def log_odds(windows: list[tuple[set[str], int]]) -> dict[str, float]:
-    """Of windows (distinct words, label): the smoothed log odds of the grams that are frequent and telling."""
-    total, count = [0, 0], {}
-    for words, y in windows:
-        total[y] += 1
-        for g in set().union(*map(grams, words)) if words else ():
-            count.setdefault(g, [0, 0])[y] += 1
-    out = {}
-    for g, (a, b) in count.items():
-        if a + b >= OFTEN:
-            v = float(np.log((b + 0.5) / (total[1] + 1)) - np.log((a + 0.5) / (total[0] + 1)))
-            if abs(v) >= 0.7:
-                out[g] = v
-    return out
+def gram_counts(halves: list[list[tuple[set[str], int]]]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """Of windows (distinct words, label) in several parts: the grams; for each part how many windows of each label have each gram, and
+    how many windows of each label there are."""
+    number: dict[str, int] = {}
+    words: dict[str, np.ndarray] = {}
+    for windows in halves:
+        for w in set().union(*(ws for ws, _ in windows)) - words.keys():
+            words[w] = np.array([number.setdefault(g, len(number)) for g in grams(w)], np.int64)
+    counts, totals = [], []
+    for windows in halves:
+        count = np.zeros((2, len(number)), np.int64)
+        for y in (0, 1):
+            mine = [ws for ws, v in windows if v == y and ws]
+            for at in range(0, len(mine), 512):
+                part = mine[at : at + 512]
+                flat = np.concatenate([words[w] for ws in part for w in ws])
+                window = np.repeat(np.arange(len(part)), [sum(len(words[w]) for w in ws) for ws in part])
+                both = np.sort(window * len(number) + flat)
+                count[y] += np.bincount(both[np.diff(both, prepend=-1) > 0] % len(number), minlength=len(number))
+        counts.append(count)
+        totals.append(np.bincount([v for _, v in windows], minlength=2))
+    return list(number), counts, totals
+
+
+def log_odds(names: list[str], count: np.ndarray, total: np.ndarray) -> dict[str, float]:
+    """The smoothed log odds of the grams that are frequent and telling."""
+    v = np.log((count[1] + 0.5) / (total[1] + 1)) - np.log((count[0] + 0.5) / (total[0] + 1))
+    return {names[i]: float(v[i]) for i in np.flatnonzero((count.sum(0) >= OFTEN) & (np.abs(v) >= 0.7))}
 
 
 class Odds:
@@ -189,8 +211,8 @@ class Network:
         c = self._characters(words)
         real = c > 0
         x = p["chars"][c] @ p["cw"] + p["cb"]
-        x[~real, :k] = -30  # past the end the update gates are shut
-        x[~real, 3 * k : 4 * k] = -30
+        x[~real, :k] = SHUT  # past the end
+        x[~real, 3 * k : 4 * k] = SHUT
         parts = [gru(x[:, :, 3 * k * b : 3 * k * (b + 1)], p["cu"][b], bool(b)) for b in (0, 1)]
         h = np.concatenate([parts[0][0], parts[1][0]], 2)
         vector, w = pool(h, p["cv"], real)
@@ -229,24 +251,28 @@ class Network:
 
     def _shut(self) -> np.ndarray:
         row = np.zeros(6 * HIDDEN, np.float32)
-        row[:HIDDEN] = row[3 * HIDDEN : 4 * HIDDEN] = -30
+        row[:HIDDEN] = row[3 * HIDDEN : 4 * HIDDEN] = SHUT
         return row
 
-    def gradient(self, windows: list[list[str]], y: np.ndarray, odds: Odds) -> tuple[float, dict]:
-        """Mean logistic loss of the windows and its gradient."""
+    def gradient(self, windows: list[list[str]], y: np.ndarray, odds: Odds, weight: np.ndarray | None = None) -> tuple[float, dict]:
+        """Mean logistic loss of the windows, weighted, and its gradient."""
+        weight = np.ones(len(y), np.float32) if weight is None else weight
         p, k = self.p, HIDDEN
         number: dict[str, int] = {}
         index = np.zeros((WINDOW, len(windows)), np.int64)
         for j, ws in enumerate(windows):
             index[: len(ws), j] = [number.setdefault(w, len(number) + 1) for w in ws]
-        inputs, saved = self._word_forward(list(number) or [""], odds)
-        table = np.concatenate([self._shut()[None], inputs])
+        new = sorted(number, key=len) or [""]
+        parts_ = [new[a : a + 2 * TOGETHER] for a in range(0, len(new), 2 * TOGETHER)]  # of like lengths
+        forward = [self._word_forward(part, odds) for part in parts_]
+        table = np.concatenate([self._shut()[None], *[x for x, _ in forward]])
+        table[[number.get(w, 1) for w in new]] = table[1:].copy()
         real = index > 0
         logit, (parts, h, vector, w) = self._window_forward(table[index], real)
         q = _sigmoid(logit)
-        loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
+        loss = float(np.mean(weight * (np.logaddexp(0, logit) - y * logit)))
         g = {n: np.zeros_like(v) for n, v in p.items()}
-        d = ((q - y) / len(y)).astype(np.float32)
+        d = (weight * (q - y) / len(y)).astype(np.float32)
         g["o"], g["ob"][0] = vector.T @ d, d.sum()
         dh, g["wv"] = pool_back(d[:, None] * p["o"], h, p["wv"], w, vector)
         dx = np.empty((*index.shape, 6 * k), np.float32)
@@ -258,11 +284,12 @@ class Network:
         sums = np.add.reduceat(dx.reshape(-1, 6 * k)[order], starts)
         dt = np.zeros_like(table)
         dt[at[starts]] = sums
-        if number:
-            self._word_back(dt[1:], saved, g)
+        for part, (_, saved) in zip(parts_, forward):
+            if number:
+                self._word_back(dt[[number[w] for w in part]], saved, g)
         return loss, g
 
-    def fit(self, rows: list[tuple[str, int]], share: float, epochs: int = 3, batch: int = 128, rate: float = 0.012, seed: int = 5) -> Network:
+    def fit(self, rows: list[tuple[str, int]], share: float, epochs: int = 1, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
         """rows: (text, label); share: of label 1 among all labelled rows."""
         self.share = share
         r = np.random.default_rng(seed)
@@ -277,8 +304,11 @@ class Network:
                 count[w] = count.get(w, 0) + 1
         often = sorted((w for w in count if count[w] >= OFTEN), key=lambda w: (-count[w], w))[: WORD_SLOTS - 1]
         self.vocabulary = {w: i + 1 for i, w in enumerate(often)}
-        tables = [Odds(log_odds(halves[1])), Odds(log_odds(halves[0]))]
-        flat = [[(w, y) for ws, y in docs[b::2] for w in ([ws[i] for i in r.permutation(len(ws))[:TRAINED]]) if w] for b in (0, 1)]
+        names, counts, totals = gram_counts(halves)
+        tables = [Odds(log_odds(names, counts[1 - b], totals[1 - b])) for b in (0, 1)]
+        # all windows, those of one text with the weight of one text; between them the weights are 1 in the mean
+        share_ = len(docs) / sum(len(ws) for ws, _ in docs)
+        flat = [[(w, y, 1 / len(ws) / share_) for ws, y in docs[b::2] for w in ws if w] for b in (0, 1)]
         m = {n: [np.zeros_like(v), np.zeros_like(v)] for n, v in self.p.items()}
         t, total = 0, epochs * sum(-(-len(f) // batch) for f in flat)
         for _ in range(epochs):
@@ -286,7 +316,8 @@ class Network:
             parts = [(b, orders[b][at : at + batch]) for b in (0, 1) for at in range(0, len(flat[b]), batch)]
             for k in r.permutation(len(parts)):
                 b, part = parts[k]
-                _, g = self.gradient([flat[b][i][0] for i in part], np.array([flat[b][i][1] for i in part], np.float32), tables[b])
+                chosen = [flat[b][i] for i in part]
+                _, g = self.gradient([c[0] for c in chosen], np.array([c[1] for c in chosen], np.float32), tables[b], np.array([c[2] for c in chosen], np.float32))
                 t += 1
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 step = rate * min(1.0, 2 * (1 - t / (total + 1)))
@@ -301,7 +332,7 @@ class Network:
         for b in (0, 1):
             self.odds, self._rows, self._inputs = tables[b], {}, None
             logits[b::2] = self._logits([t for t, _ in rows[b::2]])
-        self.odds, self._rows, self._inputs = Odds(log_odds(halves[0] + halves[1])), {}, None
+        self.odds, self._rows, self._inputs = Odds(log_odds(names, counts[0] + counts[1], totals[0] + totals[1])), {}, None
         x = np.array([_summary(v) for v in logits])
         mean, deviation = x.mean(0), x.std(0) + 1e-6
         a = np.concatenate([(x - mean) / deviation, np.ones((len(x), 1))], 1)
@@ -330,10 +361,10 @@ class Network:
                 new = sorted(set(words), key=lambda w: (len(w), w))
                 if len(new) > KNOWN:
                     self._inputs = np.concatenate([self._inputs[:1], np.zeros((len(new), 6 * HIDDEN), np.float32)])
-            for at in range(0, len(new), 2048):
-                part = new[at : at + 2048]
-                inputs, _ = self._word_forward(part, self.odds)
-                self._inputs[self._used : self._used + len(part)] = inputs
+            for at in range(0, len(new), TOGETHER):
+                part = new[at : at + TOGETHER]
+                inputs, _ = self._word_forward(part + [""] * (TOGETHER - len(part)), self.odds)
+                self._inputs[self._used : self._used + len(part)] = inputs[: len(part)]
                 known.update(zip(part, range(self._used, self._used + len(part))))
                 self._used += len(part)
         return [known[w] for w in words]
@@ -356,10 +387,11 @@ class Network:
         out = []
         if self._inputs is None:
             self._inputs, self._used = self._shut()[None].repeat(KNOWN + 1, 0), 1
-        for a in range(0, len(every), 512):
-            i = every[a : a + 512].T
-            # rounded, as the last bits depend on what else is multiplied at the same time
-            out.append(np.round(self._window_forward(self._inputs[i], i > 0)[0].astype(np.float64), 3))
+        for a in range(0, len(every), TOGETHER):
+            i = every[a : a + TOGETHER].T
+            filled = np.pad(i, ((0, 0), (0, TOGETHER - i.shape[1])))
+            # rounded, so that machines of another kind are unlikely to differ
+            out.append(np.round(self._window_forward(self._inputs[filled], filled > 0)[0][: i.shape[1]].astype(np.float64), 3))
         return np.split(np.concatenate(out), np.cumsum(counts)[:-1])
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -369,7 +401,8 @@ class Network:
             return [float(self.share)] * len(texts)
         mean, deviation, beta = self.scale
         x = (np.array([_summary(v) for v in self._logits(texts)]) - mean) / deviation
-        return (1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -40, 40)))).tolist()
+        odds = x[:, 0] * beta[0] + x[:, 1] * beta[1] + x[:, 2] * beta[2] + beta[3]  # not a product of matrices: by row alone
+        return (1 / (1 + np.exp(-np.clip(odds, -40, 40)))).tolist()
 
 
 def _starts(n: int) -> list[int]:
@@ -389,7 +422,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
     train = F.lit(True) if train is None else train
     counts = dict(pick(labels, "doc_id", label).where(train & F.col(label).isin(0, 1)).groupBy(label).count().collect())
     share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    return Network().fit(sample_of_labels(docs, labels, label, train, per_class, SAMPLE_CHARS), share)
+    return Network().fit(sample_of_labels(docs, labels, label, train, per_class), share)
 
 
 def score_toxicity(df: DataFrame, network: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from feldspar.llm import bpe, html, langid, quality, secrets, tiff, toolcalls, toxicity
-from feldspar.llm.words import NOT_SPACE, WORD_BYTES, shingles, word_hashes
+from feldspar.llm.words import NOT_SPACE, WORD_BYTES, shingles, word_hashes, words
 
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "naïve café ß Ж 漢字 😀"), (5, "naïve café ß Ж 漢字 😀"), (None, "no id"), (7, "long " * 30000), (8, "x" * 70000), (9, "\0\0")]
 
@@ -217,14 +217,14 @@ def test_credential_words_that_end_a_longer_name():
 
 def test_words_by_brute_force():
     r = random.Random(5)
-    pool = ["a", "B", "é", "É", "word", "WORD", " ", "  ", "\t", "\x0b", "\xa0", "-", "7", " ", "x_y"]
+    pool = ["a", "B", "é", "É", "word", "WORD", "eightlet", "\0", "\x1f", " ", "  ", "\t", "\x0b", "\xa0", "-", "7", " ", "x_y"]
     for member, pattern in ((NOT_SPACE, rb"[^\x20\x09-\x0d]+"), (WORD_BYTES, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
         number: dict[bytes, int] = {}
         for _ in range(400):
             t = "".join(r.choice(pool) for _ in range(r.randint(0, 15)))
             want = re.findall(pattern, t.encode().lower())
             got = word_hashes(t, member).tolist()
-            assert len(got) == len(want)
+            assert len(got) == len(want) and words(t, member) == want
             for w, h in zip(want, got):
                 assert number.setdefault(w, h) == h
             size = min(3, len(want))
@@ -277,9 +277,82 @@ def test_toxicity_gradient_and_held_out_texts():
     held = labelled(100, 5, words)
     scores = n.scores([t for t, _ in held])
     assert sum((s >= 0.5) == bool(v) for s, (_, v) in zip(scores, held)) >= 90
-    alone = [n.scores([t])[0] for t, _ in held[:5]]
-    assert np.allclose(alone, scores[:5], atol=1e-4)
-    assert len(n.scores([None, "", "w" * 5000])) == 3 and n.scores([]) == []
+    texts = [t for t, _ in held[:12]] + [None, "", "w" * 5000, "\U0001f600 ß"]
+    assert [n.scores([t])[0] for t in texts] == n.scores(texts) == n.scores(texts[::-1])[::-1] and n.scores([]) == []
+    assert n.scores([None]) == n.scores([""]) == n.scores([" ! "])
+
+
+def test_toxicity_forward_by_plain_loops():
+    """Log odds of windows, one word, character and step at a time."""
+    n = toxicity.Network().fit(labelled(60, 6, (["idiot", "scum", "moron"], 1)), 0.5, batch=16)
+    p, k = n.p, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(xs, u, half):
+        h, out = np.zeros(k), []
+        for x in xs:
+            x, a = x[3 * k * half : 3 * k * (half + 1)], h @ u
+            z, r = sig(x[:k] + a[:k]), sig(x[k : 2 * k] + a[k : 2 * k])
+            h = (1 - z) * h + z * np.tanh(x[2 * k :] + r * a[2 * k :])
+            out.append(h)
+        return out
+
+    def both(xs, u, v):
+        h = [np.concatenate([a, b]) for a, b in zip(states(xs, u[0], 0), states(xs[::-1], u[1], 1)[::-1])]
+        w = np.exp([np.tanh(x) @ v for x in h])
+        return sum(a * b for a, b in zip(w / w.sum(), h))
+
+    def word(w):
+        slots = [1 + (ord(c) * 40503 % 2**32 >> 3) % (toxicity.CHAR_SLOTS - 1) for c in w]
+        own = both([p["chars"][c] @ p["cw"] + p["cb"] for c in slots], p["cu"], p["cv"])
+        odds = [0.0] * 3
+        for g in toxicity.grams(w):
+            if (v := n.odds.table.get(g)) is not None:
+                odds = [v if g == f"^{w}$" else odds[0], max(odds[1], v), min(odds[2], v)]
+        return np.concatenate([p["words"][n.vocabulary.get(w, 0)], own, np.array(odds) / 2]) @ p["ww"] + p["wb"]
+
+    texts = [t for t, _ in labelled(4, 7, (["idiot"], 1))] + ["one", "ÀÉ ß漢 x"]
+    for t, got in zip(texts, n._logits(texts)):
+        want = [both([word(w) for w in ws], p["wu"], p["wv"]) @ p["o"] + p["ob"][0] for ws in toxicity.windows_of(toxicity.words_of(t))]
+        assert np.allclose(got, want, atol=2e-3), t
+
+
+def test_gram_counts_by_brute_force():
+    windows = [(set(toxicity.words_of(t)), y) for t, y in labelled(30, 9, (["idiot"], 1))] + [(set(), 0)]
+    names, counts, totals = toxicity.gram_counts([windows[:11], windows[11:]])
+    for part, count, total in zip((windows[:11], windows[11:]), counts, totals):
+        for y in (0, 1):
+            each = [set().union(*map(toxicity.grams, ws)) for ws, v in part if v == y]
+            assert total[y] == len(each) and all(count[y, i] == sum(g in s for s in each) for i, g in enumerate(names))
+
+
+def test_quality_difference_by_single_blocks():
+    import zstandard
+
+    m = quality.fit(labelled(300, 1, (["buy!!!", "CLICK", "$$$", "win###"], 0)))
+    sizes = [lambda b, d=d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(b)) for d in (m.good, m.bad)]
+    for t in [t for t, _ in labelled(20, 3, (["CLICK"], 0))] + ["naïve " * 3000, "x"]:
+        b = t.encode()
+        want = sum(sizes[1](b[i : i + 2048]) - sizes[0](b[i : i + 2048]) for i in range(0, len(b), 2048)) / len(b)
+        w = len(b) / (len(b) + 64)
+        assert m.difference(t) == want and abs(m.score(t) - 1 / (1 + np.exp(-(w * (m.a * want + m.b) + (1 - w) * m.prior)))) < 1e-9
+
+
+def test_classifiers_on_odd_tables(spark, docs):
+    """Null ids, repeated rows, ids with several texts, empty tables, clashing columns."""
+    from pyspark.sql import functions as F
+
+    from feldspar.llm.common import sample_of_labels
+
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (1, 0, 1, "y"), (2, 1, 1, "x"), (None, 1, 1, "x"), (3, None, None, "x"), (4, 7, 7, "x"), (5, 0, 0, "x"), (77, 1, 1, "x")], "doc_id long, quality int, toxic int, TEXT string")
+    many = docs([(1, "a"), (1, "a"), (2, None), (None, "n"), (3, "c"), (4, "d"), (5, "x " * 9000)]).union(spark.range(10000).selectExpr("2L as doc_id", "concat('t', id) as text", "'' as `DOC_ID`", "0 as score"))
+    got = sample_of_labels(many, labels, "quality", F.lit(True), 2)
+    assert [y for _, y in got] == [0, 1, 0] and got[0] == ("a", 0) and got[2] == ("x " * 9000, 0) and len(sample_of_labels(many, labels, "quality", F.lit(True), 1)) == 2
+    for fit, score in ((quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)):
+        m = fit(many, labels)
+        out = rows(score(docs(ODD), m))
+        assert [i for i, _ in out] == [i for i, _ in ODD] and all(0 <= s <= 1 for _, s in out) and out[4] == out[5] and out[0][1] == out[1][1]
+        assert rows(score(docs([]), m)) == [] and rows(score(docs(ODD[:1]), fit(docs([]), labels.limit(0))))[0][0] == 1
 
 
 def test_every_window_and_character_counts():
@@ -297,6 +370,44 @@ def test_languages(spark):
     assert langid.fit_profiles(train.limit(0)).predict("x") == ("und", 0.0)
 
 
+def test_out_of_place_distance_by_brute_force():
+    from collections import Counter
+
+    r = random.Random(2)
+    word = lambda k: "".join(r.choice("abcdefgh"[k : k + 5]) for _ in range(r.randint(1, 6)))
+    train = [(k, " ".join(word(i) for _ in range(200))) for i, k in enumerate(("aa", "bb", "cc"))]
+
+    def slow(t):  # the n-grams of a text and how often each occurs
+        count: Counter = Counter()
+        for w in t.lower().split():
+            count.update((0x1FFFFF, 0, ord(c)) for c in w)
+            s = [0, *map(ord, w), 0]
+            count.update((0x1FFFFE, *s[i : i + 2]) for i in range(len(s) - 1))
+            count.update(tuple(s[i : i + 3]) for i in range(len(s) - 2))
+        return count
+
+    size = 60
+    profiles = {k: [int(x) for x in langid.ranked(*langid.ngrams(t), size)] for k, t in train}
+    p = langid.Profiles(profiles, size)
+    for t in [t for _, t in train] + [" ".join(word(r.randrange(3)) for _ in range(r.randint(1, 40))) for _ in range(60)]:
+        grams, counts = langid.ngrams(t)
+        own = [g for _, g in sorted(zip((-counts).tolist(), grams.tolist()))][:size]
+        assert len(own) == min(size, len(slow(t))) and sorted(counts.tolist()) == sorted(slow(t).values())
+        distance = {k: sum(abs(q.index(g) - i) if g in q else size for i, g in enumerate(own)) for k, q in profiles.items()}
+        best = min(distance, key=lambda k: (distance[k], k))
+        weight = [np.exp(-(d - distance[best]) / (len(own) * size * langid._TEMPERATURE)) for d in distance.values()]
+        got = p.predict(t)
+        assert got[0] == best and abs(got[1] - 1 / sum(weight)) < 1e-9
+    tie = langid.Profiles({"zz": profiles["aa"], "mm": profiles["aa"]}, size)  # equal distances: the alphabetically first
+    assert tie.predict("abc cab")[0] == "mm" and tie.predict("abc cab")[1] == 0.5
+
+
+def test_language_frames(spark, docs):
+    p = langid.fit_profiles(spark.createDataFrame([(1, "the cat", "aa", "x"), (1, "the cat", "aa", "x"), (None, "die katze", "bb", "x"), (3, None, "bb", "x"), (4, "", "bb", "x")], "doc_id long, text string, lang string, LANG string"))
+    got = rows(langid.identify(docs(ODD), p))
+    assert [r[0] for r in got] == [i for i, _ in ODD] and got[4] == got[5] and [r[1] for r in got[:3]] == ["und"] * 3 and rows(langid.identify(docs([]), p)) == []
+
+
 def test_ngrams_by_brute_force():
     from collections import Counter
 
