@@ -1,12 +1,13 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The block elements of a page form a tree.  Each is content or not; its tag, its class and id words, its text and its
-links give it a potential, and every parent and child share another.  Sum-product messages go up and then down the
+The block elements of a page form a tree.  Text is content or not, an element is content if some text in it is; its tag, its class and
+id words, its size and its links give it a potential, and every parent and child share another.  Sum-product messages go up and then down the
 tree and leave each element's marginal; text whose element is content with probability 1/2 or more is kept.
 The potentials are fitted by likelihood to labelled pages.  As no labelled pages are given, labelled_pages()
 writes them: pages of many layouts whose content is known because it was put there.
 
-Rules: null or empty html gives an empty text.  Scripts, styles, heads, templates and form controls never count.
+Rules: null or empty html gives an empty text.  Scripts, styles, heads, templates, drawings and form controls never count.  A header,
+footer or aside is no content inside an article either.  Pages of any length are read whole.
 Unclosed and misnested tags are repaired as browsers do it for blocks; a tag cut off by the end of the page is dropped.
 <br> is white space.  Equal pages give equal texts.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +27,23 @@ from .common import kind, pick, ship, spread
 
 BLOCKS = set("""html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
-HIDDEN = set("head script style noscript template svg math iframe object canvas select textarea button option datalist audio video title".split())
+HIDDEN = set("head script style noscript template svg iframe object canvas select textarea button option datalist audio video title".split())
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the second kind ends where one of the first begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 #: What may stand in a head.
 HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+_COMMENT_END = re.compile(r"--!?>")
+_CUT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
-NAME_SLOTS = 2048
 THRESHOLD = 0.5
+#: Labelled pages that a class or id word needs to count; other words say nothing.
+NAMED = 4
+#: Elements deeper than this stand beside each other, as in browsers.
+DEEPEST = 512
 
 
 class Page:
@@ -55,7 +62,7 @@ class Page:
             if text:
                 self._in_body()
                 block = self._stack[-1]
-                if self.tag[block] in ("html", "body"):  # text straight in the body is a paragraph without tags
+                if self.tag[block] not in _GROUP:  # text straight in a container is a paragraph without tags
                     self.parent.append(block)
                     self.tag.append("p")
                     self.names.append(())
@@ -98,6 +105,10 @@ class Page:
                     break
         elif self.tag[stack[-1]] == "p":
             stack.pop()
+        if len(stack) >= DEEPEST:
+            stack.pop()
+        if tag == "body":  # its names tell of the page, not of the element
+            attributes = ""
         names = tuple(w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")) if attributes else ()
         self.parent.append(stack[-1])
         self.tag.append(tag)
@@ -121,23 +132,18 @@ class Page:
                 self._text(s[at:])
                 break
             self._text(s[at:lt])
-            after = s[lt + 1 : lt + 2]
-            if after in ("!", "?"):
-                end = s.find("-->", lt + 4) + 2 if s.startswith("<!--", lt) else s.find(">", lt)
-                if end < lt + 2:
-                    break
-                at = end + 1
+            if self._declared(s, lt):
+                at = self._past(s, lt)
                 continue
             m = _TAG.match(s, lt)
             if m is None:
-                if not after or not (after.isalpha() or after == "/" and s[lt + 2 : lt + 3].isalpha()):
+                if not re.compile(r"</?[a-zA-Z]").match(s, lt):
                     self._text("<")
                     at = lt + 1
                     continue
-                end = s.find(">", lt)  # a quote that never ends
-                if end < 0:
+                m = _CUT.match(s, lt)  # a quote that never ends
+                if m is None:
                     break
-                m = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>").match(s, lt)
             at, closing, tag = m.end(), bool(m[1]), m[2].lower()
             if tag in HIDDEN:
                 if not closing:
@@ -150,6 +156,23 @@ class Page:
                 self._parts.append(" ")
         self._flush()
 
+    @staticmethod
+    def _declared(s: str, at: int) -> bool:
+        """Whether a comment, a declaration or an end tag without a name begins there."""
+        return s.startswith(("<!", "<?"), at) or s.startswith("</", at) and at + 2 < len(s) and not (s[at + 2].isascii() and s[at + 2].isalpha())
+
+    @staticmethod
+    def _past(s: str, at: int) -> int:
+        """Past a comment, as browsers end it, or past a declaration."""
+        if not s.startswith("<!--", at):
+            end = s.find(">", at)
+            return end + 1 if end >= 0 else len(s)
+        for empty in ("<!-->", "<!--->"):
+            if s.startswith(empty, at):
+                return at + len(empty)
+        m = _COMMENT_END.search(s, at + 4)
+        return m.end() if m else len(s)
+
     @staticmethod
     def _skip(s: str, at: int, tag: str) -> int:
         """Past the end of an element that never counts."""
@@ -166,11 +189,8 @@ class Page:
         while at < len(s):
             if s[at].isspace():
                 at += 1
-            elif s.startswith(("<!", "<?"), at):
-                end = s.find("-->", at + 4) + 2 if s.startswith("<!--", at) else s.find(">", at)
-                if end < at + 2:
-                    return len(s)
-                at = end + 1
+            elif Page._declared(s, at):
+                at = Page._past(s, at)
             else:
                 m = _TAG.match(s, at)
                 if m is None:
@@ -191,33 +211,25 @@ class Page:
 _TAGS = {t: i for i, t in enumerate(sorted(BLOCKS))}
 _SIZES = np.array([1, 4, 11, 26, 61, 200])
 _BASE = 1 + len(_TAGS)  # bias, tags
-_LAYOUT = [7, 7, 5, 5, 3, 6, 4]  # own words, words below, own links, links below, sentences, depth, straight in the body by kind
-FEATURES = _BASE + sum(_LAYOUT) + NAME_SLOTS
-#: Kinds of children: text, container, list or table part.
-_GROUP = {t: 0 for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "figcaption")} | {t: 2 for t in ("li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "ul", "ol", "dl", "table")}
-
-
-def _slot(word: str) -> int:
-    h = 5381
-    for c in word:
-        h = (h * 33 + ord(c)) & 0xFFFFFFFF
-    return h % NAME_SLOTS
+_LAYOUT = [7, 5, 5]  # words below a container, own links, links below
+FIXED = _BASE + sum(_LAYOUT)  # then one for each class or id word that the model knows
+#: Kinds of children: text, list part, and all others containers.  A text with a known name counts as a container: a notice may stand anywhere.
+_GROUP = {t: 0 for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dd", "dt", "figcaption")} | {t: 2 for t in ("li", "ul", "ol", "dl")}
 
 
 class Forest:
-    """The blocks of several pages with their features, by depth."""
+    """The blocks of several pages with their features, by depth; names: the known class and id words, numbered."""
 
-    def __init__(self, pages: list[Page]):
+    def __init__(self, pages: list[Page], names: dict[str, int]):
         self.offsets = np.cumsum([0, *(len(p.tag) for p in pages)])
         n = int(self.offsets[-1])
         self.parent = np.concatenate([np.array(p.parent) + np.where(np.array(p.parent) >= 0, o, 0) for p, o in zip(pages, self.offsets)] or [np.zeros(0, int)])
-        words, links, chars, ends = (np.zeros(n) for _ in range(4))
+        words, links, chars = (np.zeros(n) for _ in range(3))
         for p, o in zip(pages, self.offsets):
             for block, text, linked in p.texts:
                 words[o + block] += text.count(" ") + 1
                 chars[o + block] += len(text)
                 links[o + block] += min(linked, len(text))
-                ends[o + block] += text.count(". ") + text.count("! ") + text.count("? ") + (text[-1] in ".!?")
         depth = np.zeros(n, int)
         for i in range(n):  # parents come before their children
             if self.parent[i] >= 0:
@@ -234,16 +246,13 @@ class Forest:
             r = np.divide(a, b, out=np.zeros(n), where=b > 0)
             return np.where(b > 0, 1 + np.searchsorted([0.01, 0.3, 0.7], r, "right"), 0)
 
-        columns = [np.searchsorted(_SIZES, words, "right"), np.searchsorted(_SIZES, below[:, 0], "right"), share(links, chars), share(below[:, 1], below[:, 2]), np.minimum(ends, 2).astype(int), np.minimum(depth, 5)]
-        for k in (0, 1, 4):  # a paragraph's or item's length says nothing, and dozens of them would say it loudly
-            columns[k] = np.where(self.group == 1, columns[k], 0)
-        body = np.array([t == "body" for t in tags], bool)
-        straight = (self.parent >= 0) & body[self.parent]
-        columns.append(np.where(straight, 1 + self.group, 0))
-        self.group[straight] = 1  # a body says no more of a paragraph straight in it than of a container
+        # a paragraph's or item's length says nothing, and dozens of them would say it loudly
+        columns = [np.where(self.group == 1, np.searchsorted(_SIZES, below[:, 0], "right"), 0), share(links, chars), share(below[:, 1], below[:, 2])]
         starts = _BASE + np.cumsum([0, *_LAYOUT[:-1]])
         fixed = np.stack([np.zeros(n, int), 1 + tag, *[s + c for s, c in zip(starts, columns)]], 1)
-        named = [(i, _BASE + sum(_LAYOUT) + _slot(w)) for i, ws in enumerate(w for p in pages for w in p.names) for w in set(ws)]
+        named = [(i, FIXED + names[w]) for i, ws in enumerate(w for p in pages for w in p.names) for w in sorted(set(ws)) if w in names]
+        if named:
+            self.group[[i for i, _ in named]] = 1
         self.row = np.concatenate([np.repeat(np.arange(n), fixed.shape[1]), np.array([i for i, _ in named], int)])
         self.column = np.concatenate([fixed.ravel(), np.array([c for _, c in named], int)])
         self.n = n
@@ -252,8 +261,9 @@ class Forest:
 class Model:
     """unary: a weight for each feature; pair[g]: log potential of parent state and child state, by the child's group."""
 
-    def __init__(self):
-        self.unary, self.pair = np.zeros(FEATURES), np.zeros((3, 2, 2))
+    def __init__(self, names: dict[str, int] | None = None):
+        self.names = names or {}
+        self.unary, self.pair = np.zeros(FIXED + len(self.names)), np.zeros((3, 2, 2))
 
     def infer(self, f: Forest) -> tuple[np.ndarray, np.ndarray]:
         """Each block's marginal, and its joint distribution with its parent."""
@@ -276,9 +286,11 @@ class Model:
             belief[level] = np.logaddexp(j[:, 0], j[:, 1])
         return np.exp(belief[:, 1] - np.logaddexp(belief[:, 0], belief[:, 1])), joint
 
-    def fit(self, pages: list[Page], truth: list[np.ndarray], rounds: int = 200, pull: float = 1e-3) -> Model:
+    def fit(self, pages: list[Page], truth: list[np.ndarray], rounds: int = 150, pull: float = 1e-3) -> Model:
         """Gradient ascent (Adam) on the likelihood of the labels, with a weak pull to zero."""
-        f = Forest(pages)
+        count = Counter(w for p in pages for w in {w for ws in p.names for w in ws})
+        self.__init__({w: k for k, w in enumerate(sorted(w for w in count if count[w] >= NAMED))})
+        f = Forest(pages, self.names)
         y = np.concatenate(truth).astype(int)
         child = f.parent >= 0
         seen_pair = np.zeros((3, 2, 2))
@@ -286,7 +298,7 @@ class Model:
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (self.unary, self.pair)]
         for t in range(1, rounds + 1):
             p, joint = self.infer(f)
-            unary = np.bincount(f.column, (y - p)[f.row], FEATURES) / len(pages) - pull * self.unary
+            unary = np.bincount(f.column, (y - p)[f.row], len(self.unary)) / len(pages) - pull * self.unary
             pair = seen_pair.copy()
             np.subtract.at(pair, f.group[child], joint[child])
             for x, g, m in zip((self.unary, self.pair), (unary, pair / len(pages) - pull * self.pair), moments):
@@ -296,7 +308,7 @@ class Model:
         return self
 
     def texts(self, pages: list[Page]) -> list[str]:
-        p, _ = self.infer(Forest(pages)) if pages else (None, None)
+        p, _ = self.infer(Forest(pages, self.names)) if pages else (None, None)
         out, o = [], 0
         for page in pages:
             out.append("\n".join(t for block, t, _ in page.texts if p[o + block] >= THRESHOLD))
@@ -307,9 +319,10 @@ class Model:
 # ---- labelled pages -----------------------------------------------------------------------------
 
 
-def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Pages of random layouts and the texts in them that are content, each text unlike any other."""
     r = random.Random(seed)
+    spoken = ["".join(r.choices("aeioulnrstdmk", k=r.randint(2, 9))) for _ in range(4000)]
     out = []
     for _ in range(n):
         count = [0]
@@ -317,8 +330,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
 
         def words(k: int, stop: str = "") -> str:
             count[0] += 1
-            w = ["".join(r.choice("aeioulnrstdmk") for _ in range(r.randint(2, 9))) for _ in range(k)]
-            return f"{' '.join(w)} {count[0]}x{stop}"
+            return f"{' '.join([*r.choices(spoken, k=k), f'{count[0]}x'])}{stop}"
 
         style = r.choice(["plain", "plain", "plain", "bare", "bars", "marks", "terse", "terse"])
 
@@ -334,6 +346,11 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
         def links(k: int) -> str:
             return "".join(f"<li><a href='/{i}'>{words(r.randint(1, 3))}</a></li>" for i in range(k))
 
+        def menu() -> str:
+            if r.random() < 0.7:
+                return f"<ul>{links(r.randint(2, 9))}</ul>"
+            return r.choice([" ", " | ", " &middot; ", "<br>"]).join(f"<a href='/{i}'>{words(r.randint(1, 3))}</a>" for i in range(r.randint(1, 8)))
+
         def short() -> str:
             return r.choice([lambda: sentence(1, 6), lambda: running(), lambda: running()])()
 
@@ -342,20 +359,20 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
 
         def clutter(where: str) -> str:
             kinds = {
-                "nav": lambda: f"<nav{r.choice(['', ' class=menu', ' id=nav'])}><ul>{links(r.randint(2, 9))}</ul></nav>",
-                "menu": lambda: f"<div class='{r.choice(['menu', 'navigation', 'nav-bar', 'breadcrumbs', 'breadcrumb', 'navbar', 'top-menu'])}'><ul>{links(r.randint(2, 9))}</ul></div>",
+                "nav": lambda: f"<{(t := r.choice(['nav', 'nav', 'div role=navigation']))}{r.choice(['', ' class=menu', ' id=nav'])}>{menu()}</{t.split()[0]}>",
+                "menu": lambda: f"<div class='{r.choice(['menu', 'navigation', 'nav-bar', 'breadcrumbs', 'breadcrumb', 'navbar', 'top-menu', 'pagination', 'pager', 'toolbar', 'tabs'])}'>{menu()}</div>",
                 "header": lambda: f"<header{r.choice(['', ' class=site-header', ' id=header'])}>{r.choice(['<h1>{0}</h1>', '<p>{0}</p>', '{0}', '<div class=logo>{0}</div>']).format(short())}</header>",
-                "headdiv": lambda: f"<div {r.choice(['class', 'id'])}='{r.choice(['header', 'masthead', 'banner', 'top', 'site-header'])}'><p>{short()}</p></div>",
-                "ad": lambda: f"<{(t := r.choice(['div', 'aside', 'section', 'p']))} {r.choice(['class', 'id'])}='{r.choice(['ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'ad-slot', 'adbox', 'banner-ad', 'sponsor'])}'>{r.choice(['<p>{0}</p>', '{0}', '<a href=x>{0}</a>']).format(short()) if t != 'p' else short()}</{t}>",
+                "headdiv": lambda: f"<div {r.choice(['class', 'id', 'role'])}='{r.choice(['header', 'masthead', 'banner', 'banner', 'top', 'topbar', 'site-header', 'branding'])}'><p>{short()}</p></div>",
+                "ad": lambda: f"<{(t := r.choice(['div', 'aside', 'section', 'p']))} {r.choice(['class', 'id'])}='{r.choice(['ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'promotion', 'ad-slot', 'adbox', 'adsense', 'banner-ad', 'sponsor', 'commercial', 'partner', 'leaderboard'])}'>{r.choice(['<p>{0}</p>', '{0}', '<a href=x>{0}</a>']).format(short()) if t != 'p' else short()}</{t}>",
                 "aside": lambda: f"<aside{r.choice(['', ' class=sidebar', ' id=sidebar', ' class=related'])}><h3>{short()}</h3>{r.choice(['<p>{0}</p>', '<ul>{1}</ul>']).format(short(), links(r.randint(1, 6)))}</aside>",
-                "side": lambda: f"<div class='{r.choice(['sidebar', 'side', 'widget', 'related', 'related-posts', 'recommended', 'share', 'social', 'side-column', 'rail'])}'><h4>{short()}</h4><p>{short()}</p><ul>{links(r.randint(0, 5))}</ul></div>",
-                "notice": lambda: f"<div {r.choice(['class', 'id'])}='{r.choice(['cookie', 'cookie-notice', 'cookie-banner', 'notice', 'consent', 'gdpr', 'alert', 'popup', 'modal', 'newsletter', 'subscribe', 'paywall', 'disclaimer'])}'>{r.choice(['<p>{0}</p>', '{0}', '<p>{0}</p><button>ok</button>']).format(short())}</div>",
+                "side": lambda: f"<div class='{r.choice(['sidebar', 'sidebar', 'sidebar', 'col-md-4 sidebar', 'side', 'widget', 'related', 'related-posts', 'recommended', 'recommendations', 'more-stories', 'trending', 'popular', 'share', 'sharing', 'social', 'follow', 'tags', 'side-column', 'rail'])}'><h4>{short()}</h4><p>{short()}</p><ul>{links(r.randint(0, 5))}</ul></div>",
+                "notice": lambda: f"<{(t := r.choice(['div', 'div', 'div', 'section', 'dialog', 'p']))} {r.choice(['class', 'id'])}='{r.choice(['cookie', 'cookie-notice', 'cookie-banner', 'notice', 'consent', 'gdpr', 'alert', 'popup', 'modal', 'newsletter', 'subscribe', 'paywall', 'disclaimer', 'warning', 'message', 'privacy', 'cookies', 'overlay', 'toast', 'signup', 'banner'])}'>{r.choice(['<p>{0}</p>', '{0}', '<p>{0}</p><button>ok</button>']).format(short()) if t != 'p' else short()}</{t}>",
                 "form": lambda: f"<form{r.choice(['', ' class=search', ' id=login', ' class=newsletter'])}><p>{short()}</p><label>{words(2)}</label><input name=q><button>{words(1)}</button></form>",
-                "comments": lambda: f"<{(t := r.choice(['section', 'div']))} {r.choice(['class', 'id'])}='{r.choice(['comments', 'comment-list', 'responses', 'discussion', 'replies', 'disqus', 'reader-comments', 'user-comments'])}'><h3>{words(2)}</h3>"
+                "comments": lambda: f"<{(t := r.choice(['section', 'div']))} {r.choice(['class', 'id'])}='{r.choice(['comments', 'comment-list', 'responses', 'discussion', 'replies', 'disqus', 'reader-comments', 'user-comments', 'comment-section', 'feedback', 'reviews'])}'><h3>{words(2)}</h3>"
                 + "".join(r.choice(["<div class='comment'><p>{0}</p></div>", "<p>{0}</p>", "<article class=comment><p>{0}</p></article>", "<ul><li class=comment>{0}</li></ul>"]).format(running()) for _ in range(r.randint(1, 5)))
                 + f"</{t}>",
                 "footer": lambda: f"<footer{r.choice(['', ' class=site-footer', ' id=footer'])}>{r.choice(['&copy; {0}', '<p>{0}</p>', '<ul>{1}</ul>', '&copy; {0} &middot; {2}']).format(short(), links(3), short())}</footer>",
-                "footdiv": lambda: f"<div {r.choice(['class', 'id'])}='{r.choice(['footer', 'bottom', 'copyright', 'site-footer', 'legal', 'colophon'])}'><p>{short()}</p></div>",
+                "footdiv": lambda: f"<div {r.choice(['class', 'id', 'role'])}='{r.choice(['footer', 'contentinfo', 'bottom', 'copyright', 'site-footer', 'legal', 'colophon', 'foot', 'credits'])}'><p>{short()}</p></div>",
                 "script": lambda: "<script>var a='<p>no</p>';</script><style>p{x:y}</style><!-- <p>no</p> -->",
             }
             names = {"top": ["nav", "menu", "header", "headdiv", "ad", "notice", "script", "form"], "in": ["ad", "aside", "notice", "form", "script", "side"], "end": ["side", "aside", "comments", "comments", "footer", "footdiv", "nav", "notice", "form", "ad", "script"]}[where]
@@ -365,8 +382,10 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
             good.append(t)
             return t
 
+        plain = r.random() < 0.4  # paragraphs alone
+
         def piece() -> str:
-            k = r.random()
+            k = 0.0 if plain else r.random()
             if k < 0.62:
                 t = running()
                 form = r.choice(["<p>{0}</p>"] * 5 + ["<p><b>{0}<br>", "<p>{0}", "<p class=lead>{0}</p>", "<div>{0}</div>", "<div class=paragraph>{0}</div>"])
@@ -385,7 +404,24 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
                 return "<table>" + "".join(f"<tr><td>{keep(words(2))}</td><td>{keep(words(3))}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
             return f"<section>{piece()}{piece()}</section>"
 
-        wrap = r.choice(["<article>{0}</article>"] * 4 + ["<main>{0}</main>", "<main><article>{0}</article></main>", "<div class=content>{0}</div>", "<div id=main-content><div class=post-body>{0}</div></div>", "<article class=post><div class=entry-content>{0}</div></article>", "<section class=article-body>{0}</section>", "<div class='story article-text'>{0}</div>"] + ["{0}"] * 3)
+        def neutral(inside: str = "{0}") -> str:
+            """Elements around it that say nothing: without names, or with names of the layout, or made-up ones."""
+            for _ in range(r.choice([1, 1, 1, 2, 2, 3, 5])):
+                made = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7)))
+                said = f"{r.choice(['has', 'with', 'no', 'sticky', 'show'])}-{r.choice(['sidebar', 'menu', 'header', 'footer', 'ads', 'comments', 'banner', 'nav'])}"  # of the page, not of the element
+                name = r.choice([made, made, said, *"wrapper wrap container col row inner outer page site layout grid box block root app center left middle column cell col-md-8 holder group panel view flex body".split()])
+                t = r.choice(["div"] * 8 + ["section", "center", "td"])
+                mark = r.choice(["", "", f" class={name}", f" id={name}", f" class='{name} {made}'"])
+                inside = f"<table{mark}><tr><td>{inside}</td></tr></table>" if t == "td" else f"<{t}{mark}>{inside}</{t}>"
+            return inside
+
+        wrap = r.choice(
+            ["<article>{0}</article>"] * 6
+            + ["<main>{0}</main>", "<main><article>{0}</article></main>", "<div class=content>{0}</div>", "<div id=main-content><div class=post-body>{0}</div></div>", "<article class=post><div class=entry-content>{0}</div></article>", "<section class=article-body>{0}</section>", "<div class='story article-text'>{0}</div>", "<section>{0}</section>"]
+            + [neutral()] * 6
+            + [neutral("<article>{0}</article>"), f"<article>{neutral()}</article>", f"<main>{neutral()}</main>"]
+            + ["{0}"] * 4
+        )
         loose = wrap == "{0}" and r.random() < 0.4  # text without elements, straight in the body
 
         def stretch() -> str:
@@ -393,18 +429,19 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
             keep(" ".join(lines))
             return r.choice(["<br>", "<br><br>"]).join(lines) + "<hr>"
 
-        top = "".join(clutter("top") for _ in range(r.randint(0, 4)))
-        body = f"<h1>{keep(sentence(1, 9))}</h1>" if r.random() < 0.8 else ""
-        for _ in range(r.choice([0, 1, 2, 4, 8, 14, 30, 60])):
+        alone = r.random() < 0.25  # nothing around the content
+        top = "" if alone else "".join(clutter("top") for _ in range(r.randint(0, 4)))
+        body = f"<h1>{keep(sentence(1, 9))}</h1>" if r.random() < 0.6 else ""
+        if "<article" in wrap and r.random() < 0.15:
+            body = f"<header>{r.choice(['<h1>{0}</h1>', '<h1>{0}</h1><p>{1}</p>', '<p>{1}</p>']).format(sentence(1, 9), short())}</header>" + body
+        for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 14, 30] if not body else [0, 1, 2, 4, 8, 14, 30, 60])):
             body += stretch() if loose else piece()
             if r.random() < 0.12:
                 body += clutter("in")
-        inside = clutter("end") if r.random() < 0.15 else ""
+        inside = clutter("end") if r.random() < 0.15 and not alone else ""
         body = wrap.replace("{0}", body + inside)
-        end = "".join(clutter("end") for _ in range(r.randint(0, 5)))
-        frame = r.choice(["{0}{1}{2}"] * 3 + ["<div class=wrapper>{0}{1}{2}</div>", "<div id=page>{0}<div class=container>{1}</div>{2}</div>"])
-        if wrap == "{0}":
-            frame = "{0}{1}{2}"
+        end = "" if alone else "".join(clutter("end") for _ in range(r.randint(0, 5)))
+        frame = "{0}{1}{2}" if wrap == "{0}" else r.choice(["{0}{1}{2}"] * 4 + [neutral("{0}{1}{2}"), neutral("{0}{1}{2}"), neutral("{0}") + "{1}{2}", "{0}" + neutral("{1}") + "{2}", neutral("{0}" + neutral("{1}") + "{2}"), "{0}" + neutral("{1}{2}"), f"<table{r.choice(['', ' width=100%'])}><tr><td{r.choice(['', ' class=menu', ' class=side'])}>{{0}}</td><td>{{1}}</td></tr></table>{{2}}"])
         page = frame.replace("{0}", top).replace("{2}", end).replace("{1}", body)
         page = f"<!DOCTYPE html><html lang=en><head><title>{words(3)}</title>{r.choice(['</head><body>', '</head><body>', '</head><body>', '</head>', '<body>'])}{page}</body></html>"
         if r.random() < 0.1:
@@ -414,8 +451,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[str]]]:
 
 
 def truth_of(page: Page, good: list[str]) -> np.ndarray:
-    """A block is content if it has text of its own, all of it content; without own text, if all its children are.  A
-    body never is: its own text stands in paragraphs."""
+    """A block with text of its own is content if all of that is; a block without if some block in it is."""
     wanted = {" ".join(g.split()) for g in good}
     own: dict[int, list[bool]] = {}
     for block, t, _ in page.texts:
@@ -428,13 +464,7 @@ def truth_of(page: Page, good: list[str]) -> np.ndarray:
             children[p].append(i)
     for i in range(n - 1, -1, -1):
         votes = own.get(i)
-        if page.tag[i] in ("html", "body"):
-            y[i] = 0
-        elif votes and (not children[i] or page.tag[i] in _GROUP):
-            y[i] = all(votes)
-        elif children[i]:
-            share = [y[c] for c in children[i]]
-            y[i] = int(sum(share) * 2 > len(share)) if page.tag[i] in ("article", "main", "section", "div") else all(share)
+        y[i] = all(votes) if votes else any(y[c] for c in children[i])
     return y
 
 

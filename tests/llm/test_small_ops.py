@@ -434,7 +434,47 @@ def test_pages_of_known_content():
         there = [t for _, t, _ in p.texts]
         wrong += len({t for t in kept if t} ^ {t for t in there if t in wanted})
         total += len(there)
-    assert wrong < 0.02 * total
+    assert wrong < 0.01 * total
+
+
+PROSE = ["A plain line of the text goes here and on.", "Another one follows it. It is as long as the first was, and has more.", "Why not?"]
+#: Layouts that the labelled pages don't have by these names, and what may stand beside or in the text.
+LAYOUTS = ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}", "<div><div>{}</div></div>", "<div class=frame><div class=cols>{}</div></div>", "<article><div>{}</div></article>",
+           '<div class=container-fluid><div class=row><div class="col-lg-9">{}</div></div></div>', "<section>{}</section>", '<div class="css-1x2y3z"><div id=__next>{}</div></div>', "<div>" * 9 + "{}" + "</div>" * 9,
+           "<table><tr><td>{}</td></tr></table>", "<center>{}</center>", "<div class=content>{}</div>", "<article><section>{}</section></article>", "<body class='sidebar-right ads'><div class='story'>{}</div>"]
+BESIDE = ["{}", "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News of today</a></li></ul></nav>{}<footer><p>Copyright of it.</p></footer>", "<div class=menu><a href=/>Home</a> <a href=/b>News</a></div><div class=ad>Buy now.</div>{}<div id=footer><p>All rights reserved.</p></div>",
+          "<header><h1>Site name</h1></header>{}<section class=comments><div class=comment><p>I like it very much.</p></div></section>", "<div class=cookie-notice><p>We use cookies on this site.</p></div>{}<form><p>Subscribe to it</p><input></form>"]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_no_layout_loses_its_text(layout):
+    m = html.fitted()
+    for beside, n in itertools.product(BESIDE, (1, 2, 3, 12, 40)):
+        text = [PROSE[i % 3] for i in range(n)]
+        page = beside.replace("{}", layout.replace("{}", "".join(f"<p>{t}</p>" for t in text)))
+        assert m.texts([html.Page(f"<!doctype html><html><head><title>t</title></head><body>{page}</body></html>")]) == ["\n".join(text)], page
+
+
+def test_clutter_inside_articles():
+    text = "".join(f"<p>{t}</p>" for t in PROSE)
+    for inside in (f"<header><h1>Its title</h1></header>{text}", f"{text}<aside><p>Other things to read.</p></aside>", f"{text}<footer><p>Posted by someone.</p></footer>", f"<p>{PROSE[0]}</p><div class=advert><p>Buy this now.</p></div><p>{PROSE[1]}</p><p>{PROSE[2]}</p>", f"<nav><a href=x>Up</a></nav>{text}<div class=comment-list><article class=comment><p>So do I.</p></article></div>"):
+        assert html.fitted().texts([html.Page(f"<body><article>{inside}</article></body>")]) == ["\n".join(PROSE)], inside
+
+
+def test_marks_that_browsers_read_otherwise():
+    for page, want in {"<!--> one": "one", "<!---> one": "one", "<!-- x --!> one": "one", "<!-- x -- > y --> one": "one", "a <é> b": "a <é> b", "</3> one": "one", "</> one": "one", "one <": "one <", "<head><!--> <p>one": "one", "<p>1 <2 3": "1 <2 3", "<math><mi>x</mi></math> one": "x one", "<?x?> one": "one"}.items():
+        assert " ".join(t for _, t, _ in html.Page(page).texts) == want, page
+    deep = html.Page("<div>" * 5000 + "down here" + "</div>" * 5000)
+    assert len(html.Forest([deep], {}).levels) <= html.DEEPEST + 2 and html.fitted().texts([deep]) == ["down here"]
+
+
+def test_page_frames(spark):
+    page = f"<article><p>{PROSE[0]}</p></article>"
+    data = [(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (None, None, None, None, None), (3, "v", "", "x", "y"), (4, "w", f"<p>{'long words ' * 40000}</p>", "x", "y")]
+    table = spark.createDataFrame(data, "page_id long, url string, html string, PAGE_ID string, text string")
+    got = rows(html.extract(table))
+    long_ = ("long words " * 40000).strip()
+    assert got == [(1, "u", PROSE[0], len(PROSE[0]))] * 2 + [(None, None, "", 0), (3, "v", "", 0), (4, "w", long_, len(long_))] and rows(html.extract(table.limit(0))) == []
 
 
 def test_messy_pages():
@@ -464,8 +504,9 @@ def test_content_straight_in_body():
 def test_inference_by_brute_force():
     m = html.Model()
     r = np.random.default_rng(1)
-    m.unary, m.pair = r.normal(size=html.FEATURES), r.normal(size=(3, 2, 2))
-    f = html.Forest([html.Page("<body><div class=a><p>x</p><ul><li>y</li></ul></div><p>z</p></body>")])
+    m.names = {"a": 0}
+    m.unary, m.pair = r.normal(size=html.FIXED + 1), r.normal(size=(3, 2, 2))
+    f = html.Forest([html.Page("<body><div class=a><p>x</p><ul><li>y</li></ul></div><p>z</p></body>")], m.names)
     own = np.bincount(f.row, m.unary[f.column], f.n)
     total, mass = 0.0, np.zeros(f.n)
     for y in itertools.product((0, 1), repeat=f.n):
