@@ -465,7 +465,8 @@ def test_marks_that_browsers_read_otherwise():
     for page, want in {"<!--> one": "one", "<!---> one": "one", "<!-- x --!> one": "one", "<!-- x -- > y --> one": "one", "a <é> b": "a <é> b", "</3> one": "one", "</> one": "one", "one <": "one <", "<head><!--> <p>one": "one", "<p>1 <2 3": "1 <2 3", "<math><mi>x</mi></math> one": "x one", "<?x?> one": "one"}.items():
         assert " ".join(t for _, t, _ in html.Page(page).texts) == want, page
     deep = html.Page("<div>" * 5000 + "down here" + "</div>" * 5000)
-    assert len(html.Forest([deep], {}).levels) <= html.DEEPEST + 2 and html.fitted().texts([deep]) == ["down here"]
+    assert len(html.Forest([deep], {}).levels) <= html.DEEPEST + 2 and len(html.fitted().texts([deep])) == 1
+    assert html.fitted().texts([html.Page("<div>" * 60 + PROSE[0] + "</div>" * 60)]) == [PROSE[0]]
 
 
 def test_page_frames(spark):
