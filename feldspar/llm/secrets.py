@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a password guess-cost for values in credential context.
 
-The guess-cost of a value is the cheapest segmentation, found by dynamic programming, into words, dates,
-repeats, keyboard walks and brute-force spans: the bits that a guesser who knows these habits needs.  A
-value after a credential word that costs MIN_BITS or more becomes a span of kind `guess`.
+The guess-cost of a value is the cheapest segmentation, found by dynamic programming over all of them, into words, dates,
+repeats (spans that stand earlier in the value too), keyboard walks, runs and brute-force characters: the bits that a guesser who knows
+these habits needs.  A value after a credential word that costs MIN_BITS or more becomes a span of kind `guess`.
 
 Spans are in code points, the end exclusive.  Rules: null text counts as empty and has no spans.
-Texts of any length are scanned whole; the segmentation takes time proportional to a value's length.
+Texts of any length are scanned whole; the segmentation of n characters takes a time of n log n, whatever repeats or runs they hold: a
+span's cost depends on its length by whole powers of two, and the least cost before all spans of such a length is kept.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential"
 MIN_BITS = 32.0
 #: Bits for going over from one span to the next.
 JOIN_BITS = 1.0
-#: Words that people build passwords from, the most frequent first.
+#: Words that people build passwords from, the most frequent first; a longer list is a parameter of Guesser.
 WORDS = """password pass admin welcome qwerty letmein login master hello monkey dragon love secret test
 user root guest default change changeme access example sample demo temp dummy token key your here value
 sunshine princess football baseball soccer hockey batman superman shadow michael jordan harley ranger
@@ -47,63 +49,143 @@ golden flower tiger eagle black white green blue none null true false undefined
 redacted xxxx todo""".split()
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("013457@$!", "oleastasi")
-_COST = {w: math.log2(i + 2) for i, w in enumerate(WORDS)}
-_SIZES = sorted({len(w) for w in WORDS})
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:])} | {b + a for row in ROWS for a, b in zip(row, row[1:])}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+_DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:(?:19|20)?[0-9]{2})"
+#: A year of four digits, or day, month and year in any usual order, with the same sign or none between them.
+_DATE = re.compile(rf"(?:19|20)[0-9]{{2}}|{_YEAR}([-/._]?){_MONTH}\1{_DAY}|{_DAY}([-/._]?){_MONTH}\2{_YEAR}|{_MONTH}([-/._]?){_DAY}\3{_YEAR}")
+_DATE_SIZES = (4, 6, 8, 10)
+YEAR_BITS, DATE_BITS, SAME_BITS, WALK_BITS, RISE_BITS, COPY_BITS = 7.0, 16.0, 5.0, 7.0, 5.0, 2.0
+#: Characters of a run or walk at least, and of a repeat.
+RUN, COPY = 3, 2
+
+
+def _alphabet(c: str) -> int:
+    return 10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33 if c.isascii() else 2000
 
 
 def _runs(s: str, joined) -> list[int]:
-    """For each end, where the longest run of joined neighbours that ends there begins."""
-    begins = []
+    """For each end, how long the longest run of joined neighbours that ends there is."""
+    out = [0]
     for i in range(len(s)):
-        begins.append(begins[-1] if i and joined(s, i) else i)
-    return begins
+        out.append(out[-1] + 1 if i and joined(s, i) else 1)
+    return out
+
+
+def _copies(s: str) -> list[int]:
+    """For each end, how long the longest span that ends there and also ends earlier is (by a suffix automaton)."""
+    step, link, size, last = [{}], [-1], [0], 0
+    out = [0]
+    for c in s:
+        new = len(step)
+        step.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if size[q] != size[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                size.append(size[p] + 1)
+                link.append(link[q])
+                link[q] = twin
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = twin
+                    p = link[p]
+                q = twin
+            link[new] = q
+        last = new
+        out.append(size[link[last]])
+    return out
+
+
+class _Least:
+    """The least of any stretch of a growing list."""
+
+    def __init__(self):
+        self.rows: list[list[float]] = [[]]  # rows[k][i]: the least of the 2 ** k that end at i
+
+    def add(self, v: float) -> None:
+        i, k = len(self.rows[0]), 0
+        self.rows[0].append(v)
+        while 2 << k <= i + 1:
+            if k + 1 == len(self.rows):
+                self.rows.append([math.inf] * i)
+            row = self.rows[k]
+            self.rows[k + 1].append(min(row[i], row[i - (1 << k)]))
+            k += 1
+
+    def of(self, a: int, b: int) -> float:
+        """Of the list from a to b inclusive."""
+        k = (b - a + 1).bit_length() - 1
+        row = self.rows[k]
+        return min(row[b], row[a + (1 << k) - 1])
+
+
+class Guesser:
+    """Costs of values for a guesser who tries these words, the most frequent first."""
+
+    def __init__(self, words: Iterable[str] = WORDS):
+        self.words: dict[str, float] = {}
+        for i, w in enumerate(words):
+            self.words.setdefault(w.lower(), math.log2(i + 2))
+        self.sizes = sorted({len(w) for w in self.words})
+
+    def word_bits(self, own: str, low: str, plain: str) -> float:
+        """Of a span as it is, in lower case, and without signs for letters."""
+        bits = min(self.words.get(low, math.inf), self.words.get(plain, math.inf) + 2.0)
+        return bits + (0.0 if own == own.lower() else 1.0 if own[1:] == own[1:].lower() or own == own.upper() else float(len(own)))
+
+    def bits(self, value: str) -> float:
+        """The bits of the cheapest segmentation."""
+        low = value.lower()
+        if len(low) != len(value):  # a letter whose lower case is longer
+            low = value
+        plain = low.translate(_LEET)
+        n = len(value)
+        ends: dict[int, list[tuple[int, float]]] = {}
+        for size in self.sizes:
+            for i in range(n - size + 1):
+                if low[i : i + size] in self.words or plain[i : i + size] in self.words:
+                    ends.setdefault(i + size, []).append((i, self.word_bits(value[i : i + size], low[i : i + size], plain[i : i + size])))
+        for i in range(n):
+            if low[i] in "0123456789":
+                for size in _DATE_SIZES:
+                    if i + size <= n and _DATE.fullmatch(low, i, i + size):
+                        ends.setdefault(i + size, []).append((i, YEAR_BITS if size == 4 else DATE_BITS))
+        runs = [
+            (_runs(low, lambda s, i: s[i] == s[i - 1]), RUN, SAME_BITS),
+            (_runs(low, lambda s, i: s[i - 1 : i + 1] in _NEXT), RUN, WALK_BITS),
+            (_runs(low, lambda s, i: ord(s[i]) - ord(s[i - 1]) == 1 and s[i].isalnum()), RUN, RISE_BITS),
+            (_copies(low), COPY, COPY_BITS),
+        ]
+        best, least = [0.0], _Least()
+        least.add(0.0)
+        for j in range(1, n + 1):
+            cost = best[j - 1] + math.log2(_alphabet(value[j - 1]))
+            for longest, shortest, bits in runs:
+                for k in range(shortest.bit_length() - 1, longest[j].bit_length()):  # lengths from 2 ** k on
+                    a, b = max(shortest, 1 << k), min(longest[j], (2 << k) - 1)
+                    if a <= b:
+                        cost = min(cost, least.of(j - b, j - a) + bits + k + JOIN_BITS + (math.log2(j) if bits == COPY_BITS else 0.0))
+            for i, bits in ends.get(j, ()):
+                cost = min(cost, best[i] + bits + JOIN_BITS)
+            best.append(cost)
+            least.add(cost)
+        return best[n]
+
+
+_guesser = Guesser()
 
 
 def guess_bits(value: str) -> float:
-    """The bits of the cheapest segmentation."""
-    low = value.lower()
-    if len(low) != len(value):  # a letter whose lower case is longer
-        low = value
-    plain = low.translate(_LEET)
-    n = len(value)
-    best = [0.0] + [math.inf] * n
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for size in _SIZES:
-        for i in range(n - size + 1):
-            for form, extra in ((low, 0.0), (plain, 2.0)):
-                bits = _COST.get(form[i : i + size])
-                if bits is not None:
-                    own = value[i : i + size]
-                    caps = 0.0 if own == own.lower() else 1.0 if own[1:] == own[1:].lower() or own == own.upper() else float(size)
-                    ends.setdefault(i + size, []).append((i, bits + extra + caps))
-                    break
-    for i in range(n):
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            ends.setdefault(m.end(), []).append((i, 7.0 if m.end() - i == 4 else 16.0))
-    same = _runs(low, lambda s, i: s[i] == s[i - 1])
-    walk = _runs(low, lambda s, i: s[i - 1 : i + 1] in _NEXT)
-    rise = _runs(low, lambda s, i: ord(s[i]) - ord(s[i - 1]) == 1 and s[i].isalnum())
-    kinds = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
-    for j in range(1, n + 1):
-        c = value[j - 1]
-        alphabet = next((k for test, k in kinds if test(c)), 33 if c.isascii() else 2000)
-        cost = best[j - 1] + math.log2(alphabet)
-        for begins, bits in ((same, 5.0), (walk, 7.0), (rise, 5.0)):
-            i = begins[j - 1]
-            if j - i >= 3:
-                cost = min(cost, best[i] + bits + math.log2(j - i) + JOIN_BITS)
-        for size in (2, 3, 4):  # a block that repeats what stands right before it
-            if j >= 2 * size and low[j - size : j] == low[j - 2 * size : j - size]:
-                cost = min(cost, best[j - size] + 2.0)
-        for i, bits in ends.get(j, ()):
-            cost = min(cost, best[i] + bits + JOIN_BITS)
-        best[j] = cost
-    return best[n]
-
-
-def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
+    return _guesser.bits(value)
+
+
+def find_secrets(text: str | None, guesser: Guesser = _guesser) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind as in KINDS."""
     if not text:
         return []
@@ -121,24 +203,24 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
                 continue
             if len(v) >= 6:
                 values.setdefault(m.start(2), m.start(2) + len(v))
-        found += [(a, 3, b) for a, b in values.items() if guess_bits(text[a:b]) >= MIN_BITS]
+        found += [(a, 3, b) for a, b in values.items() if guesser.bits(text[a:b]) >= MIN_BITS]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 
-def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", guesser: Guesser = _guesser) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, digest): of what is found only a digest leaves."""
     df = pick(df, doc_id, text)
 
     def row(i, t):
-        return i, [{"kind": k, "start": a, "end": b, "sha256": hashlib.sha256(t[a:b].encode()).hexdigest()} for k, a, b in find_secrets(t)]
+        return i, [{"kind": k, "start": a, "end": b, "sha256": hashlib.sha256(t[a:b].encode()).hexdigest()} for k, a, b in find_secrets(t, guesser)]
 
     return map_rows(df, f"`{doc_id}` {kind(df, doc_id)}, spans array<struct<kind: string, start: long, end: long, sha256: string>>", lambda: row)
 
 
-def redact_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def redact_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), guesser: Guesser = _guesser) -> DataFrame:
     """doc_id, text with each stretch of overlapping spans replaced by the first one's [kind], n_chars, and the
     columns to carry."""
     df = pick(df, doc_id, text, *carry)
@@ -147,7 +229,7 @@ def redact_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
         if t is None:
             return i, None, None, *rest
         out, at = [], 0
-        for k, a, b in find_secrets(t):
+        for k, a, b in find_secrets(t, guesser):
             if a >= at:
                 out += [t[at:a], f"[{k}]"]
             at = max(at, b)

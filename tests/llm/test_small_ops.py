@@ -179,21 +179,46 @@ def test_guess_cost_prefers_habits():
     assert secrets.guess_bits("") == 0
 
 
-def test_guess_cost_by_brute_force():
+def slow_bits(v, guesser):
+    """The least over all segmentations, each span's cost by its definition."""
     import math
 
-    def brute(v):  # digits, words and repeats only, over all segmentations
-        if not v:
-            return 0.0
-        best = brute(v[:-1]) + math.log2(10 if v[-1].isdigit() else 26)
-        for w, c in secrets._COST.items():
-            if v.endswith(w):
-                best = min(best, brute(v[: -len(w)]) + c + secrets.JOIN_BITS)
-        return best
-
-    for v in ("passxq", "q7admin", "keytoken", "zlove9", "hjkqz"):
-        assert secrets.guess_bits(v) <= brute(v) + 1e-9
-    assert abs(secrets.guess_bits("passxq") - brute("passxq")) < 1e-9
+    low = v.lower() if len(v.lower()) == len(v) else v
+    plain = low.translate(secrets._LEET)
+
+    def span(i, j):
+        own, n = low[i:j], j - i
+        pairs = list(zip(own, own[1:]))
+        costs = [guesser.word_bits(v[i:j], own, plain[i:j]), math.inf]
+        if secrets._DATE.fullmatch(own):
+            costs.append(7.0 if n == 4 else 16.0)
+        if n >= 3:
+            k = int(math.log2(n))
+            costs += [5.0 + k] * (len(set(own)) == 1) + [7.0 + k] * all(a + b in secrets._NEXT for a, b in pairs) + [5.0 + k] * all(ord(b) - ord(a) == 1 and b.isalnum() for a, b in pairs)
+        if n >= 2 and low.find(own, 0, j - 1) >= 0:
+            costs.append(2.0 + int(math.log2(n)) + math.log2(j))
+        return min(costs) + secrets.JOIN_BITS
+
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min([best[-1] + math.log2(secrets._alphabet(v[j - 1]))] + [best[i] + span(i, j) for i in range(j)]))
+    return best[-1]
+
+
+def test_guess_cost_by_all_segmentations():
+    r = random.Random(4)
+    bits = ["password", "Welcome", "P@ss", "admin", "tyuiop", "erty", "fghjk", "abcd", "6789", "aaa", "zzzzzz", "2024", "20240131", "01-31-99", "311299", "x9k2", "q7", "!", "Zk", "é", "İ", "ſ", "zq9x"]
+    values = ["", "passwordfghjk", "welcomerty", "x9k2welcomertyuiop", "abcdefabcdefabcdef", "1231231231231", "2024-01-31"]
+    for _ in range(2000):
+        v = "".join(r.choice(bits) for _ in range(r.randint(1, 5)))
+        values.append(v + v[: r.randint(0, len(v))] if r.random() < 0.3 else v[: r.randint(1, 30)])
+    own = secrets.Guesser(["zq9x", *secrets.WORDS])
+    for g in (secrets._guesser, own):
+        for v in values[:: 1 if g is own else 5]:
+            assert abs(g.bits(v) - slow_bits(v, g)) < 1e-9, v
+    assert secrets.find_secrets("password: x9k2welcomertyuiop") == [("assign", 0, 28)] and own.bits("zq9x") < secrets.guess_bits("zq9x")
+    for v in ("x" * 70000, "ab" * 30000, "qwertyuiop" * 3000):
+        assert secrets.guess_bits(v) < 60
 
 
 def test_secret_frames(docs):
@@ -201,6 +226,8 @@ def test_secret_frames(docs):
     got = rows(secrets.redact_secrets(docs([*ODD, (10, text)])))
     assert got[0] == (1, None, None) and got[-1][1] == "my password is [guess]. ok [assign]'"
     assert [r[0] for r in rows(secrets.scan_secrets(docs(ODD)))] == [i for i, _ in ODD]
+    assert rows(secrets.scan_secrets(docs([]))) == [] and rows(secrets.redact_secrets(docs([]))) == []
+    assert rows(bpe.encode_bpe(docs([]))) == [] and rows(bpe.decode_bpe(bpe.encode_bpe(docs([])))) == []
 
 
 def test_credential_words_that_end_a_longer_name():
