@@ -29,6 +29,8 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 6: 1, 7: 1, 8: 2, 9: 4}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END = 256, 257
+#: Bytes that a compressed byte gives at most, over all schemes.
+EXPANDS = 4096
 #: How op1 stores a payload: pixels of a row, bytes of a strip, sides of a tile.
 ROW, STRIP_BYTES, TILE = 64, 8192, 64
 
@@ -190,7 +192,7 @@ def unpack(data: bytes, scheme: int, size: int) -> bytes:
     if scheme == LZW:
         return lzw_decode(data, size)
     if scheme in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, size))  # no more than the block should hold
     raise ValueError(f"compression {scheme} is not supported")
 
 
@@ -257,8 +259,10 @@ def _image(data: bytes, f: dict[int, list[int]], order: str) -> tuple[int, int,
     across, down = (-(-width // w), -(-height // h)) if height and width else (0, 0)
     if len(offsets) < across * down * planes:
         raise ValueError("blocks are missing")
+    if (blocks := across * down * planes) * h * row > EXPANDS * (sum(counts[:blocks]) + 1):
+        raise ValueError("the blocks are too short for the page")
     out = np.zeros((planes, height, width * each * bits if loose else (width * each * bits + 7) // 8), np.uint8)
-    for k in range(across * down * planes):
+    for k in range(blocks):
         plane, r, c = k // (across * down), k // across % down, k % across
         rows = h if tiled else min(h, height - r * h)
         if offsets[k] + counts[k] > len(data):

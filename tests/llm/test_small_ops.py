@@ -111,6 +111,52 @@ def test_a_page_of_another_form_ends_no_walk():
     assert [p[0] for p in pages] == list(range(6)) and [p[6] for p in pages] == [b"abcd", None, b"abcd", None, None, b"abcd"] and [bool(p[7]) for p in pages] == [False, True, False, True, True, False]
 
 
+def test_no_mutation_of_a_file_raises():
+    r = np.random.default_rng(7)
+    images = [r.integers(0, 5, (9, 11, 3)).astype(np.uint8), r.integers(0, 5, (70, 66)).astype(np.uint8)]
+    files = [bytearray(tiff.write_pages(images, scheme, predictor, tiled, order)) for scheme, (predictor, tiled, order) in itertools.product((1, 5, 8, 32773), ((1, False, "<"), (2, True, ">")))]
+    files += [bytearray(tiff_file("<", [(7, 5, 1, 32, 8, 3, None, [zlib.compress(bytes(140))]), (5, 5, 1, 1, 1, 1, (16, 16), [bytes(32)])]))]
+    rnd = random.Random(1)
+    places = []  # the directories, where most values matter
+    for f in files:
+        order = "<" if f[:2] == b"II" else ">"
+        (at,) = struct.unpack_from(f"{order}I", f, 4)
+        own = [*range(8)]
+        while at:
+            (n,) = struct.unpack_from(f"{order}H", f, at)
+            own += range(at, at + 6 + 12 * n)
+            (at,) = struct.unpack_from(f"{order}I", f, at + 2 + 12 * n)
+        places.append(own)
+    failed = 0
+    for k in range(20000):
+        data = bytearray(files[k % len(files)])
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.choice(places[k % len(files)]) if rnd.random() < 0.8 else rnd.randrange(len(data))
+            data[at] = rnd.choice([0, 0, 1, 255, rnd.randrange(256)])
+        pages = tiff.read_pages(bytes(data[: rnd.choice([len(data)] * 9 + [rnd.randrange(len(data))])]))
+        failed += any(p[7] for p in pages)
+        assert len(pages) < 200
+    assert failed > 2000
+
+
+def test_sizes_of_zero_and_bombs():
+    def page(**fields):
+        data = tiff.write_pages([np.zeros((4, 4), np.uint8)], tiled=fields.pop("tiled", False))
+        (at,) = struct.unpack_from("<I", data, 4)
+        out = bytearray(data)
+        for i in range(struct.unpack_from("<H", data, at)[0]):
+            tag = struct.unpack_from("<H", data, at + 2 + 12 * i)[0]
+            if f"t{tag}" in fields:
+                struct.pack_into("<I", out, at + 10 + 12 * i, fields[f"t{tag}"])
+        return tiff.read_pages(bytes(out))
+
+    assert page()[0][6] == bytes(16)
+    for fields in ({"t278": 0}, {"t322": 0, "tiled": True}, {"t323": 0, "tiled": True}, {"t257": 1 << 31, "t278": 1 << 31}, {"t256": 1 << 31, "t257": 1 << 31}):
+        assert [bool(p[7]) and p[6] is None for p in page(**fields)] == [True], fields
+    bomb = zlib.compress(bytes(50_000_000))
+    assert len(tiff.unpack(bomb, tiff.DEFLATE, 100)) == 100
+
+
 def test_op1_columns(spark, docs):
     stored = tiff.store_as_tiff(docs(ODD))
     got = rows(tiff.tiff_pages(stored, keys=("doc_id", "n_bytes")).select("doc_id", "n_bytes", "samples", "error"))
