@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feldspar.llm.bpe import encode_bpe
-from feldspar.llm.common import fold, pick, written
+from feldspar.llm.common import fold, pick, remove, written
 from feldspar.llm.decontaminate import find_items
 from feldspar.llm.dedup import near_duplicates
 from feldspar.llm.quality import fit_quality, keep_good
@@ -28,10 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (word shingles of five, similarity 0.8) the smallest doc_id stays; rows
-    without an id can't be grouped and stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null")).select(*COLUMNS)
+    without an id can't be grouped and stay.  Of several rows of an id that stays one does: one with a text if there is one,
+    the first by the text's SHA-256, lang, source and n_chars."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
+    order = F.struct(F.col("text").isNull(), F.sha2("text", 256), "lang", "source", "n_chars")
+    several = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), order).alias("row"))
+    return single.select(*COLUMNS).union(several.select("doc_id", "row.*").select(*COLUMNS)).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, applied to documents.  A stage's table goes when the next one has been written, the last one's with the application."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove(*before)
+        before = [docs]
     return docs
