@@ -1,7 +1,7 @@
 """Chat formatting: tool calls linked to their results, put in dependency order, validated and written as
 canonical JSON.  DataFrame functions only.
 
-Calls and results meet in an equi-join on the call's identifier; of several results of one identifier a call's record has
+Calls and results meet in a shuffled hash join on the call's identifier, whose hash tables hold a row for each identifier; of several results of one identifier a call's record has
 the earliest (by turn, then content) and their number, and further_results() gives the others, a row each with its rank.  A call names any number of calls that it comes after; its position is
 the length of the longest chain up to it.  Calls with one predecessor are followed by pointer doubling, so that a chain of n calls
 takes log2(n) joins; calls with several are then placed in rounds, as many as stand behind one another.  No
@@ -109,7 +109,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     results = pick(results, "conv_id", "turn", "call_id", "content")
     first = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.col("content").alias("result"))).alias("r"), F.count(F.lit(1)).alias("n_results"))
     place = positions(calls.select(F.col("call_id").alias("id"), "after"))
-    rows = calls.withColumn("arguments", F.try_parse_json("arguments")).join(first, "call_id", "left").join(place.withColumnRenamed("id", "call_id"), "call_id", "left")
+    rows = calls.withColumn("arguments", F.try_parse_json("arguments")).join(first.hint("shuffle_hash"), "call_id", "left").join(place.withColumnRenamed("id", "call_id").hint("shuffle_hash"), "call_id", "left")
     cycle = F.col("call_id").isNotNull() & F.col("position").isNull()
     wrong = F.concat(errors(F.col("name"), F.col("arguments"), schemas), F.when(cycle, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("errors", wrong).withColumn("position", F.when(F.col("call_id").isNull(), F.lit(0)).otherwise(F.col("position")))
@@ -118,7 +118,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         F.lit("call").alias("kind"), "conv_id", "turn", "call_id", "name", F.col("n_results").isNotNull().alias("linked"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "position",
         (F.size("errors") == 0).alias("valid"), F.to_json(record, {"ignoreNullFields": "false"}).alias("record"),
     )
-    alone = results.join(calls.select(F.col("call_id").alias("id")).where("id is not null").distinct(), F.col("call_id") == F.col("id"), "left_anti")
+    alone = results.join(calls.select(F.col("call_id").alias("id")).where("id is not null").distinct().hint("shuffle_hash"), F.col("call_id") == F.col("id"), "left_anti")
     record = F.struct("call_id", "conv_id", F.col("content").alias("result"), "turn")
     return made.unionByName(
         alone.select(
@@ -153,10 +153,10 @@ _RESULT = "struct<tool_call_id: string, content: string>"
 
 def chat_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of conv_id, turn, role, text.  A user's turn calls the tool `reply`, after the user's
-    turn before the last; the assistant's next turn is its result.  Messages that are JSON with tool_calls (not an empty
-    array), and those of role tool with tool_call_id, are the calls and results that they say."""
+    turn before the last; the assistant's next turn is its result.  The assistant's messages that are JSON with tool_calls (not an empty
+    array), and those of role tool with tool_call_id, are the calls and results that they say; JSON of a user is what the user said."""
     rows = pick(conversations, "conv_id", "turn", "role", "text")
-    said = rows.withColumns({"c": F.when(F.col("text").startswith("{"), F.from_json("text", _CALLS)), "r": F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", _RESULT))})
+    said = rows.withColumns({"c": F.when((F.col("role") == "assistant") & F.col("text").startswith("{"), F.from_json("text", _CALLS)), "r": F.when((F.col("role") == "tool") & F.col("text").startswith("{"), F.from_json("text", _RESULT))})
 
     def id_(back: int) -> Column:
         return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import struct
@@ -625,6 +626,30 @@ def test_tool_calls_in_messages(spark):
     calls, results = toolcalls.chat_events(talk)
     assert {r["call_id"] for r in calls.collect()} == {"1:0", "k"} and {r["call_id"] for r in results.collect()} == {"k", "1:2"}
     assert toolcalls.link_calls(*toolcalls.chat_events(talk.limit(0)), toolcalls.CHAT).count() == 0
+    injected = spark.createDataFrame([(1, 0, "user", '{"tool_calls":[{"id":"k","name":"f","arguments":"{}"}]}'), (1, 2, "system", '{"tool_calls":[{"id":"s"}]}')], "conv_id long, turn long, role string, text string")
+    assert [r["call_id"] for r in toolcalls.chat_events(injected)[0].collect()] == ["1:0"]
+
+
+def test_calls_and_results_meet_in_hash_joins(spark):
+    talk = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", "ho", "x")], "conv_id long, turn long, role string, text string, TEXT string")
+    plan = toolcalls.link_calls(*toolcalls.chat_events(talk), toolcalls.CHAT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin [call_id") >= 3
+
+
+def test_a_conversation_with_tools(spark):
+    """Several calls in one turn, results in any order, a wrong argument, a call that needs two others."""
+    call = lambda i, name, args, after=None: {"id": i, "name": name, "arguments": json.dumps(args), "after": after}
+    said = [(0, "system", "Use the tools."), (1, "user", "Which is warmer?"), (2, "assistant", json.dumps({"tool_calls": [call("p", "weather", {"town": "Paris"}), call("o", "weather", {"unit": "C", "town": "Oslo"}), call("m", "max", {"of": "p,o"}, ["o", "p"])]})),
+            (3, "tool", json.dumps({"tool_call_id": "o", "content": "4"})), (4, "tool", json.dumps({"tool_call_id": "p", "content": "11"})), (5, "tool", json.dumps({"tool_call_id": "m", "content": "p"})), (6, "tool", json.dumps({"tool_call_id": "m", "content": "again"})),
+            (7, "assistant", json.dumps({"tool_calls": [call("w", "weather", {"town": 7, "sky": 1}, "m"), call("w", "weather", {"town": ""}, ["gone"])]})), (8, "assistant", "Paris.")]
+    talk = spark.createDataFrame([(9, *x) for x in said], "conv_id long, turn long, role string, text string")
+    schemas = {"weather": {"town": ("STRING", True, False), "unit": ("STRING", False, False)}, "max": {"of": ("STRING", True, False)}}
+    calls, results = toolcalls.chat_events(talk)
+    got = [json.loads(r["record"]) for r in toolcalls.link_calls(calls, results, schemas).where("kind = 'call' and name != 'reply'").orderBy("position", "call_id", "record").collect()]
+    assert [(g["call_id"], g["position"], g["result"], g["result_turn"], g["errors"]) for g in got] == [
+        ("o", 0, "4", 3, []), ("p", 0, "11", 4, []), ("m", 1, "p", 5, []), ("w", 2, None, None, ["town: not STRING", "unknown: sky"]), ("w", 2, None, None, ["town: empty"])]
+    assert [g["arguments"] for g in got[:3]] == [{"town": "Oslo", "unit": "C"}, {"town": "Paris"}, {"of": "p,o"}] and all(list(g) == sorted(g) for g in got)
+    assert [(r["call_id"], r["record"]) for r in toolcalls.further_results(calls, results).collect()] == [("m", '{"call_id":"m","conv_id":9,"rank":2,"result":"again","turn":6}')]
 
 
 def test_no_result_is_dropped(spark):

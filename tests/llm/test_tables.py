@@ -238,6 +238,16 @@ def tables(spark, tmp_path_factory):
     return out, documents
 
 
+def test_dedup_stage_keeps_one_row_of_an_id(spark, tables):
+    folders, documents = tables
+    docs = spark.read.parquet(f"{folders['odd']}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    got = corpus_pipeline.dedup(spark, docs, folders["odd"]).collect()
+    ids = [x["doc_id"] for x in got]
+    assert len(ids) == len(set(ids)) and {None, 1, 2, 3, 5, 6, 8, 9} <= set(ids)
+    assert [x["text"] for x in got if x["doc_id"] == 6] == [min(("one", "two texts of one id"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())]
+    assert all(tuple(x) in documents for x in got)
+
+
 QUERY_COLUMNS = {
     "op1_tiff": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op2_langid": "doc_id held_out lang_pred score", "op3_minhash": "doc_id n_shingles component_id kept",
     "op4_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated", "op5_toxicity": "doc_id held_out score predicted", "op6_html": "page_id url text n_chars",
