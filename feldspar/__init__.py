@@ -13,6 +13,11 @@ from .functions import (
     div,
     first,
     format_expr,
+    is_arithmetic,
+    is_cast,
+    is_column,
+    is_comparison,
+    is_literal,
     is_predicate,
     last,
     lit,
@@ -31,7 +36,7 @@ from .operators import Frame, Grouped, SortKey, agg, asc, concat, desc, inner_jo
 from .plans.compiler import Compiler, compile_predicate, compile_value, infer_expr_type, validate_expr
 from .plans.pipeline import Pipeline, PipelineBuilder, from_schema
 from .schema import Schema
-from .sources import empty, from_batches, from_columns, from_csv_string, from_records, parquet_schema, read_csv, read_parquet
+from .sources import CsvParser, CsvSource, empty, from_batches, from_columns, from_csv_string, from_records, parquet_schema, read_csv, read_parquet
 from .types import DType, Kind
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -194,6 +194,26 @@ def is_aggregate(e: Expr) -> bool:
     return e.op in _AGGREGATE
 
 
+def is_column(e: Expr) -> bool:
+    return e.op == "col"
+
+
+def is_literal(e: Expr) -> bool:
+    return e.op == "lit"
+
+
+def is_comparison(e: Expr) -> bool:
+    return e.op in _COMPARE
+
+
+def is_arithmetic(e: Expr) -> bool:
+    return e.op in _ARITHMETIC
+
+
+def is_cast(e: Expr) -> bool:
+    return e.op == "cast"
+
+
 def is_predicate(e: Expr) -> bool:
     return e.op in (*_COMPARE, *_STRING, "between", "is_null", "is_not_null", "and", "or", "not")
 

@@ -180,6 +180,13 @@ class Frame:
         own = [new.pop(n).alias(n) if n in new else self._col(n) for n in self.df.columns]
         return Frame(self.df.select(*own, *[v.alias(n) for n, v in new.items()]))
 
+    def apply_value(self, expr: Expr, name: str = "value") -> Frame:
+        """The expression alone, as doubles: booleans are 0 and 1; nulls, texts and dates are NaN."""
+        c = Compiler(self.df)
+        x, kind = c.value(expr), c.kind(expr)
+        number = x.cast("double") if is_numeric(kind) else x.cast("int").cast("double") if kind is Kind.Boolean else F.lit(None).cast("double")
+        return Frame(self.df.select(F.coalesce(number, F.lit(float("nan"))).alias(name)))
+
     def explode(self, name: str) -> Frame:
         self._known(name)
         if not isinstance(self.df.schema[name].dataType, T.ArrayType):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import types as t
-from .functions import and_, avg, coalesce, col, count, div, first, last, lit, max_, min_, mod, mul, neg, not_, or_, sub, sum_
-from .operators import Frame, asc, desc
+from .functions import Expr, and_, avg, coalesce, col, count, div, first, last, lit, max_, min_, mod, mul, neg, not_, or_, sub, sum_, typed_lit
+from .operators import Frame, agg, asc, concat, desc, inner_join, left_join
 from .plans.pipeline import Pipeline, from_schema
 from .schema import Schema
-from .sources import empty, from_csv_string, from_records, read_parquet
+from .sources import CsvParser, CsvSource, empty, from_batches, from_columns, from_csv_string, from_records, parquet_schema, read_csv, read_parquet
+from .streaming import run_to_end, stream_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -406,3 +410,230 @@ def q_flagship(f):
         .limit(10)
     )
     return Frame(g.df.selectExpr("l_returnflag", "l_linestatus", "sum_qty", "round(revenue, 2) as revenue", "round(avg_disc, 6) as avg_disc", "n"))
+
+
+# ---- the rest of the interface: sources, actions, scalars, free functions
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where the session is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set")
+    return f"{(base or tempfile.mkdtemp(prefix='feldspar')).rstrip('/')}/feldspar-{uuid.uuid4().hex}"
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 200000)", "customer", "orders")
+def q_join_anti_rows(c, o):
+    return c.anti_join(o.filter(col("o_totalprice").gt(200000)).select_as([("o_custkey", "c_custkey")]), "c_custkey").select("c_custkey")
+
+
+_SAID = ["true", "1", "Yes", " y ", "ON", "false", "0", "No", "n", "off", "maybe", ""]
+
+
+@query(f"select event_id, case when lower(trim(s)) in ('true', '1', 'yes', 'y', 'on') then true when lower(trim(s)) in ('false', '0', 'no', 'n', 'off') then false end as flag from (select event_id, ({_SAID!r})[1 + event_id % {len(_SAID)}] as s from events)", "events")
+def q_cast_string_bool_values(f):
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("event_id") % len(_SAID) + 1).cast("int"))
+    return Frame(f.df.select("event_id", said.alias("s"))).with_column("flag", col("s").cast(t.BOOLEAN)).select("event_id", "flag")
+
+
+_NUMBERS = ["7", " -12 ", "3.9", "-0.5", "1e3", "x", "", "300", "99999999999"]
+
+
+@query(f"select event_id, case i when 0 then 7 when 1 then -12 when 2 then 3 when 3 then 0 when 4 then 1000 when 7 then 300 end as whole, case i when 0 then 7 when 1 then -12 when 2 then 3 when 3 then 0 end as small, case i when 0 then 7 when 1 then -12 when 2 then 3.9 when 3 then -0.5 when 4 then 1000 when 7 then 300 when 8 then 99999999999 end::double as real from (select event_id, event_id % {len(_NUMBERS)} as i from events)", "events")
+def q_cast_string_numbers(f):
+    said = F.element_at(F.array(*[F.lit(x) for x in _NUMBERS]), (F.col("event_id") % len(_NUMBERS) + 1).cast("int"))
+    g = Frame(f.df.select("event_id", said.alias("s"))).with_columns({"whole": col("s").cast(t.INT32), "small": col("s").cast(t.INT8), "real": col("s").cast(t.FLOAT64)}).select("event_id", "whole", "small", "real")
+    return Frame(g.df.withColumn("small", F.col("small").cast("int")))
+
+
+@query("select o_orderkey, o_custkey, 'say \"hi\"; ' || o_orderpriority as note, o_totalprice, case when o_orderkey % 3 = 0 then 0 else o_orderkey end as gap, o_orderkey % 2 = 0 as even from orders", "orders")
+def q_csv_file(f):
+    spark, path = f.df.sparkSession, _scratch(f.df.sparkSession)
+    rows = f.df.selectExpr("o_orderkey", "o_custkey", "concat('  say \"hi\"; ', o_orderpriority, ' ') as note", "o_totalprice", "if(o_orderkey % 3 = 0, null, o_orderkey) as gap", "if(o_orderkey % 2 = 0, 'Yes', 'no') as even")
+    rows.write.option("sep", ";").option("escape", '"').option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_csv(path, {"o_orderkey": t.INT64, "o_custkey": t.INT64, "note": t.STRING, "o_totalprice": t.FLOAT64, "gap": t.INT64, "even": t.BOOLEAN}, delimiter=";", spark=spark)
+
+
+@query("select * from (values (0, '', 0.0::double, false, 0::bigint), (5, 'a', 1.5, true, 86400000), (null, 'b', null, false, null)) as v(i, s, d, b, ms)", "region")
+def q_csv_defaults(f):
+    text = "i,s,d,b,ts\n,,,,\n5,a,1.5,Y,1970-01-02T00:00:00Z\nx,b,y,nope,z\n"
+    g = from_csv_string(text, {"i": t.INT32, "s": t.STRING, "d": t.FLOAT64, "b": t.BOOLEAN, "ts": t.TIMESTAMP}, spark=f.df.sparkSession)
+    return Frame(g.df.selectExpr("i", "s", "d", "b", "unix_millis(ts) as ms"))
+
+
+@query("select * from (values (0, 1, 'a'), (1, 2, 'b\nc'), (2, 3, 'dé')) as v(piece, id, name)", "region")
+def q_csv_incremental(f):
+    spark, parser = f.df.sparkSession, CsvParser({"id": t.INT32, "name": t.STRING}, spark=f.df.sparkSession)
+    pieces = [b"id,na", b'me\n1,a\r\n2,"b', b'\nc"\n3,d\xc3', b"\xa9"]
+    found = [x for x in [*map(parser.parse, pieces), parser.finish()] if x is not None]
+    out = [Frame(x.df.select(F.lit(k).alias("piece"), "id", "name")) for k, x in enumerate(found)]
+    return out[0].concat(out[1]).concat(out[2]) if len(out) == 3 else empty({"piece": t.INT32, "id": t.INT32, "name": t.STRING}, spark)
+
+
+@query("select * from (values (1, 'b'), (2, null)) as v(id, name)", "region")
+def q_csv_source(f):
+    source = CsvSource.from_string("name|x|id\nskipped|0|0\nb|9|1\n|9|2\nc|9|3", {"name": t.STRING.to_nullable(), "x": t.INT32, "id": t.INT32}, delimiter="|", skip_rows=1, max_rows=2, projection=[2, 0], spark=f.df.sparkSession)
+    return from_records(list(source.rows()), {"id": t.INT32, "name": t.STRING.to_nullable()}, f.df.sparkSession)
+
+
+@query("select n_nationkey, n_name from nation", "nation")
+def q_batches(f):
+    return from_batches(f.select("n_nationkey", "n_name").batches(), f.df.sparkSession)
+
+
+@query("select * from (values (1::bigint, 'a', null::double), (2, null, 2.0)) as v(id, name, x)", "region")
+def q_from_columns(f):
+    return from_columns({"id": [1, 2], "name": ["a", None], "x": [None, 2]}, {"id": t.INT64, "name": t.STRING.to_nullable(), "x": t.FLOAT64.to_nullable()}, f.df.sparkSession)
+
+
+@query("select 'r_regionkey' as name, 'int' as type union all select 'r_name', 'string'", "region")
+def q_parquet_schema(f):
+    found = parquet_schema(f.df.inputFiles()[0], f.df.sparkSession)
+    return from_records([{"name": x.name, "type": x.dataType.simpleString()} for x in found], {"name": t.STRING, "type": t.STRING}, f.df.sparkSession)
+
+
+def q_stream_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, kinds = _scratch(spark), Schema.of(parquet_schema(f"{sf_dir}/orders.parquet", spark))
+    # a pattern, as a stream takes folders and patterns but no single file
+    stream = stream_parquet(f"{sf_dir}/order[s].parquet", kinds, spark).filter(col("o_totalprice").gt(100000)).with_column("twice", mul("o_totalprice", lit(2))).select("o_orderkey", "twice")
+    run_to_end(stream, f"{out}/rows", f"{out}/checkpoint")
+    return read_parquet(f"{out}/rows", spark).df
+
+
+QUERIES["q_stream_parquet"] = q_stream_parquet
+ORACLE_SQL["q_stream_parquet"] = "select o_orderkey, o_totalprice * 2 as twice from orders where o_totalprice > 100000"
+
+
+@query("select n_nationkey, n_name from nation where n_regionkey < 3", "nation")
+def q_collect(f):
+    return f.where(col("n_regionkey").lt(3)).collect().select("n_nationkey", "n_name")
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_name from nation", "nation")
+def q_to_list_rows(f):
+    f = f.select("n_nationkey", "n_name")
+    kinds = {"n_nationkey": t.INT64, "n_name": t.STRING}
+    first_half = [r for r in f.to_list() if r["n_nationkey"] < 12]
+    return from_records(first_half, kinds, f.df.sparkSession).union(from_records((r for r in f.rows() if r["n_nationkey"] >= 12), kinds, f.df.sparkSession))
+
+
+@query("select count(*) as n, count(*) filter (l_quantity > 45) as matching, min(l_quantity) as lo, max(l_quantity) as hi, round(avg(l_quantity), 6) as mean, false as is_empty, true as none_is_empty, false as any_null from lineitem", "lineitem")
+def q_scalars(f):
+    row = {"n": f.count(), "matching": f.count_matching(col("l_quantity").gt(45)), "lo": f.min("l_quantity"), "hi": f.max("l_quantity"), "mean": round(f.mean("l_quantity"), 6), "is_empty": f.is_empty(), "none_is_empty": f.filter(col("l_quantity").lt(0)).is_empty(), "any_null": f.has_any_null(["l_quantity", "l_orderkey"])}
+    kinds = {"n": t.INT64, "matching": t.INT64, "lo": t.FLOAT64, "hi": t.FLOAT64, "mean": t.FLOAT64, "is_empty": t.BOOLEAN, "none_is_empty": t.BOOLEAN, "any_null": t.BOOLEAN}
+    return from_records([row], kinds, f.df.sparkSession)
+
+
+@query("select count(*) filter (nullif(o_orderstatus, 'F') is null) > 0 as flag, false as o_orderkey from orders", "orders")
+def q_has_any_null(f):
+    g = _with_null(f)
+    return from_records([{"flag": g.has_any_null("o_flag"), "o_orderkey": g.has_any_null("o_orderkey")}], {"flag": t.BOOLEAN, "o_orderkey": t.BOOLEAN}, f.df.sparkSession)
+
+
+@query("select * from (values ('n_nationkey', 'int32', 'n_nationkey: int32?'), ('n_name', 'string', 'n_name: string?')) as v(name, kind, line)", "nation")
+def q_schema(f):
+    f = f.select("n_nationkey", "n_name")
+    lines = f.format_schema().split("\n")
+    return from_records([{"name": n, "kind": f.dtypes()[n], "line": line} for n, line in zip(f.column_names, lines) if f.schema.has(n)], {"name": t.STRING, "kind": t.STRING, "line": t.STRING}, f.df.sparkSession)
+
+
+@query("select * from (values (0, '┌────┬───┐'), (1, '│ id │ n │'), (2, '├────┼───┤'), (3, '│ 1  │ a │'), (4, '└────┴───┘'), (5, '...')) as v(i, line)", "region")
+def q_show(f):
+    shown = from_records([{"id": 1, "n": "a"}, {"id": 2, "n": "b"}], {"id": t.INT32, "n": t.STRING}, f.df.sparkSession).show_string(1)
+    return from_records([{"i": i, "line": line} for i, line in enumerate(shown.split("\n"))], {"i": t.INT32, "line": t.STRING}, f.df.sparkSession)
+
+
+@query("select true as filtered, true as scanned", "orders")
+def q_explain(f):
+    plan = f.filter(col("o_totalprice").gt(1)).select("o_orderkey").explain()
+    return from_records([{"filtered": "GreaterThan(o_totalprice,1" in plan, "scanned": "Scan parquet" in plan}], {"filtered": t.BOOLEAN, "scanned": t.BOOLEAN}, f.df.sparkSession)
+
+
+@query("select o_orderkey, o_totalprice + 1 as more from orders", "orders")
+def q_alias(f):
+    return f.with_column("more", (col("o_totalprice") + 1).alias("other")).select("o_orderkey", "more")
+
+
+@query("select l_orderkey, l_linenumber, l_quantity * 2 as twice from lineitem where l_quantity * 2 > 90 order by all limit 40 offset 5", "lineitem")
+def q_pipeline_columns(f):
+    start = Schema({"l_orderkey": t.INT64, "l_linenumber": t.INT32, "l_quantity": t.FLOAT64})
+    builder = from_schema(start, f.df.sparkSession).add_column("twice", mul("l_quantity", lit(2))).step(lambda x: x).filter(col("twice").gt(90)).select("l_orderkey", "l_linenumber", "twice")
+    return builder.sort([asc("l_orderkey"), asc("l_linenumber"), asc("twice")]).limit(40, offset=5).execute(f.select("l_orderkey", "l_linenumber", "l_quantity")).frame
+
+
+@query("select count(*) as rows_in, count(*) filter (l_quantity > 45) as rows_out, count(*) filter (l_quantity > 45) as measured from lineitem", "lineitem")
+def q_metrics(f):
+    done = Pipeline(lambda x: x.filter(col("l_quantity").gt(45)))
+    run = done.execute(f.select("l_quantity"))
+    return from_records([{"rows_in": run.rows_in, "rows_out": run.rows_out, "measured": done(f).measured()["rows_out"]}], {"rows_in": t.INT64, "rows_out": t.INT64, "measured": t.INT64}, f.df.sparkSession)
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'O'", "orders")
+def q_filter_boolean_column(f):
+    return f.with_column("open", col("o_orderstatus").eq("O")).filter(col("open")).select("o_orderkey")
+
+
+@query("select n_nationkey from nation", "nation")
+def q_filter_literal(f):
+    f = f.select("n_nationkey")
+    return concat(f.where(lit(True)), f.where(lit(False)))
+
+
+@query("select n_nationkey, 7::tinyint::int as small, 7::bigint as wide, '7' as said, 7::double as real, n_nationkey < 7 as less from nation", "nation")
+def q_typed_lit(f):
+    g = f.with_columns({"small": typed_lit(7, t.INT8), "wide": typed_lit(7, t.INT64), "said": typed_lit("7", t.STRING), "real": typed_lit(7, t.FLOAT64), "less": col("n_nationkey").lt(typed_lit(7, t.INT32))})
+    return Frame(g.df.selectExpr("n_nationkey", "cast(small as int) as small", "wide", "said", "real", "less"))
+
+
+@query("select coalesce(sum(v) filter (not isnan(v)), 0) as s, count(*) filter (isnan(v)) as gaps, count(*) as n from (select case when event_id % 3 = 0 then event_id::double else 'nan'::double end as v from events union all select (event_id % 2 = 0)::int::double from events union all select 'nan'::double from events)", "events")
+def q_apply_value(f):
+    g = Frame(f.df.selectExpr("event_id", "if(event_id % 3 = 0, event_id, null) as v", "event_type"))
+    parts = g.apply_value(col("v")).concat(g.apply_value(mod("event_id", lit(2)).eq(0))).concat(g.apply_value(col("event_type")))
+    return Frame(parts.df.selectExpr("sum(if(isnan(value), 0, value)) as s", "count_if(isnan(value)) as gaps", "count(*) as n"))
+
+
+@query('select p_brand, min(p_size) as "min(p_size)", max(p_size) as "max(p_size)", sum(p_size)::double as "sum(p_size)", round(avg(p_size), 6) as "mean(p_size)" from part group by 1', "part")
+def q_group_shortcuts(f):
+    g = f.group_by("p_brand")
+    out = g.min("p_size").join(g.max("p_size"), "p_brand").join(g.sum("p_size"), "p_brand").join(g.mean("p_size"), "p_brand")
+    return Frame(out.df.withColumn("mean(p_size)", F.round("`mean(p_size)`", 6)))
+
+
+@query("select o_orderstatus, count(*) as n, max(o_totalprice) as hi from orders group by 1", "orders")
+def q_agg_helper(f):
+    return f.group_by("o_orderstatus", [agg("n", count()), agg("hi", max_("o_totalprice"))])
+
+
+@query("select n_name, r_name from nation join region on n_regionkey = r_regionkey union all select r_name, n_name from region left join nation on r_regionkey = n_regionkey and n_nationkey < 3", "nation", "region")
+def q_join_free_functions(n, r):
+    inner = inner_join(n, r, "n_regionkey", "r_regionkey").select_as([("n_name", "n_name"), ("r_name", "r_name")])
+    left = left_join(r, n.filter(col("n_nationkey").lt(3)), "r_regionkey", "n_regionkey").select_as([("r_name", "n_name"), ("n_name", "r_name")])
+    return concat(inner, left)
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey < 5 union all select n_nationkey, n_name from nation where n_nationkey >= 20", "nation")
+def q_union_pipe(f):
+    f = f.select("n_nationkey", "n_name")
+    below = lambda x, n: x.filter(col("n_nationkey").lt(n))
+    return f.pipe(below, 5).union(f.pipe(lambda x: x.filter(not_(Expr("lt", col("n_nationkey"), lit(20))))))
+
+
+@query("select n_nationkey, case when length(n_name) < 12 then rpad(lpad(n_name, length(n_name)::int + ((12 - length(n_name)) // 2)::int, '*'), 12, '*') else n_name end as n_name from nation", "nation")
+def q_pad_both(f):
+    return f.pad("n_name", 12, "*", "both").select("n_nationkey", "n_name")
+
+
+@query("select true as differing_names, true as differing_kinds, true as same", "nation", "region")
+def q_union_schema_check(n, r):
+    from .errors import EngineError
+
+    def refused(a, b):
+        try:
+            a.concat(b)
+        except EngineError:
+            return True
+        return False
+
+    row = {"differing_names": refused(n, r), "differing_kinds": refused(n.select("n_name"), r.select_as([("r_regionkey", "n_name")])), "same": not refused(n, n)}
+    return from_records([row], dict.fromkeys(row, t.BOOLEAN), n.df.sparkSession)
