@@ -81,9 +81,11 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v): those with 100 * intersection >= percent * union."""
+    """Of pairs (u, v): those with 100 * intersection >= percent * union.  Pairs are a written table: Spark knows its size and moves
+    whichever of pairs and sets is smaller."""
     left = pairs.join(sets.select(F.col("id").alias("u"), "s"), "u")
-    both = left.join(sets.select(F.col("id").alias("v"), F.col("s").alias("t")), "v")
+    right = sets.select(F.col("id").alias("v"), F.col("s").alias("t")).join(pairs.select("v"), "v", "left_semi")
+    both = left.join(right, "v")
 
     def row(u, v, s, t):
         a, b = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
@@ -120,22 +122,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     several = member.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w")
     edges = member.join(several, "id").select(F.col("node").alias("u"), "v").where("u != v").distinct()
 
+    # nodes that share a table key share both its half keys: only half keys of two nodes and more make table keys
+    half = nodes.select("node", F.posexplode("halves").alias("at", "half"))
+    often = half.groupBy("half").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("half")
+    met = half.join(often, "half", "left_semi").groupBy("node").agg(F.collect_list(F.struct("at", "half")).alias("met"))
+    met = written(met, "met")
+    a, b = F.filter("met", lambda x: x["at"] < halves), F.filter("met", lambda x: x["at"] >= halves)
+    tables = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x["at"], y["at"], x["half"], y["half"]))))
+
     # buckets of two and more: (key, node, members)
-    tables = F.flatten(F.transform(F.slice("halves", 1, halves), lambda a, i: F.transform(F.slice("halves", halves + 1, halves), lambda b, j: F.xxhash64(i, j, a, b))))
-    keyed = nodes.select("node", F.explode(tables).alias("key"))
+    keyed = met.select("node", F.explode(tables).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
     central = written(buckets.groupBy("node").agg(F.sum("members").alias("central")).join(nodes, "node").select("node", "n", "halves", "central"), "central")
-    # an id whose rows have different texts has all their sets here
-    sets = written(_sets(docs.join(central.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id", "text"]), size), "sets")
+    # an id whose rows have different texts has all their sets here, each once
+    wanted = central.select(F.col("node").alias("id"))
+    repeated = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
+    repeated = written(wanted.join(repeated, "id", "left_semi"), "repeated")
+    once = docs.join(wanted.join(repeated, "id", "left_anti"), "id")
+    sets = written(_sets(once.union(docs.join(repeated, "id").dropDuplicates(["id", "text"])), size), "sets")
 
     # every bucket's members against its most central ones
     ranked = buckets.join(central.select("node", "n", "central"), "node")
     hub = ranked.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("share")).agg(F.max(F.struct("central", "node", "n")).alias("hub"))
     near = ranked.join(hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("nh")), "key")
     near = near.where((F.col("node") != F.col("hub")) & (100 * F.least("n", "nh") >= percent * F.greatest("n", "nh")))
-    pairs = near.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    first = written(edges.union(_verify(pairs, sets, percent)), "linked")
+    near = written(near.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "near")
+    first = written(edges.union(_verify(near, sets, percent)), "linked")
     labels = components(first)
 
     # nodes of buckets that still hold several components
@@ -172,15 +185,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     # in no group of an earlier half key (an id with several texts may be there by another of them)
     again = reduce(lambda x, y: x | y, [(F.col("at") > k) & (F.col(h) == F.col(f"s_{h}")) for k, h in enumerate(half)])
     pairs = stray.join(marked, "key").where((F.col("c") != F.col("s_c")) & both & (F.col("odd") | F.col("s_odd") | possible & ~again))
-    pairs = pairs.select(F.greatest("s_node", "node").alias("u"), F.least("s_node", "node").alias("v")).distinct()
-    second = written(_verify(pairs, sets, percent), "linked")
+    far = written(pairs.select(F.greatest("s_node", "node").alias("u"), F.least("s_node", "node").alias("v")).distinct(), "far")
+    second = written(_verify(far, sets, percent), "linked")
     remove(labels)
     labels = components(first.union(second))
     own = member.join(labels.toDF("node", "c"), "node", "left").select("id", "n", F.coalesce("c", "node").alias("component"))
     rest = sketched.where("id is null or `set` is null").select("id", "n", F.col("id").alias("component"))
     result = own.union(rest).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
     result = written(result, "components")
-    remove(sketched, nodes, member, buckets, central, sets, first, pool, halved, able, second, labels)
+    remove(sketched, nodes, member, met, buckets, repeated, central, sets, near, first, pool, halved, able, far, second, labels)
     return result
 
 
