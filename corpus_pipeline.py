@@ -30,11 +30,12 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (word shingles of five, similarity 0.8) the smallest doc_id stays; rows
     without an id can't be grouped and stay.  Of several rows of an id that stays one does: one with a text if there is one,
     the first by the text's SHA-256, lang, source and n_chars."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    single = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
+    ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    odd = ids.where("not kept or rows > 1")  # all others stay as they are, in place
+    single = docs.join(odd, "doc_id", "left_anti")
     order = F.struct(F.col("text").isNull(), F.sha2("text", 256), "lang", "source", "n_chars")
-    several = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), order).alias("row"))
-    return single.select(*COLUMNS).union(several.select("doc_id", "row.*").select(*COLUMNS)).union(docs.where("doc_id is null").select(*COLUMNS))
+    several = docs.join(odd.where("kept"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), order).alias("row"))
+    return single.select(*COLUMNS).union(several.select("doc_id", "row.*").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
