@@ -136,11 +136,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     buckets = written(keyed.join(shared, "key"), "buckets")
     central = written(buckets.groupBy("node").agg(F.sum("members").alias("central")).join(nodes, "node").select("node", "n", "halves", "central"), "central")
     # an id whose rows have different texts has all their sets here, each once
+    # (both lists of ids are written tables: Spark sees their sizes and moves the texts only if the ids are many)
     wanted = central.select(F.col("node").alias("id"))
     repeated = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     repeated = written(wanted.join(repeated, "id", "left_semi"), "repeated")
-    once = docs.join(wanted.join(repeated, "id", "left_anti"), "id")
-    sets = written(_sets(once.union(docs.join(repeated, "id").dropDuplicates(["id", "text"])), size), "sets")
+    wanted = written(wanted.join(repeated, "id", "left_anti"), "wanted")
+    sets = written(_sets(docs.join(wanted, "id").union(docs.join(repeated, "id").dropDuplicates(["id", "text"])), size), "sets")
 
     # every bucket's members against its most central ones
     ranked = buckets.join(central.select("node", "n", "central"), "node")
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     rest = sketched.where("id is null or `set` is null").select("id", "n", F.col("id").alias("component"))
     result = own.union(rest).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
     result = written(result, "components")
-    remove(sketched, nodes, member, met, buckets, repeated, central, sets, near, first, pool, halved, able, far, second, labels)
+    remove(sketched, nodes, member, met, buckets, repeated, wanted, central, sets, near, first, pool, halved, able, far, second, labels)
     return result
 
 
