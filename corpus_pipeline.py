@@ -31,10 +31,12 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id can't be grouped and stay.  Of several rows of an id that stays one does: one with a text if there is one,
     the first by the text's SHA-256, lang, source and n_chars."""
     ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    odd = ids.where("not kept or rows > 1")  # all others stay as they are, in place
+    # written, so that Spark knows how few they are; all others stay as they are, in place
+    odd = written(ids.where("not kept or rows > 1").select("doc_id"), "odd")
+    again = written(ids.where("kept and rows > 1").select("doc_id"), "again")
     single = docs.join(odd, "doc_id", "left_anti")
     order = F.struct(F.col("text").isNull(), F.sha2("text", 256), "lang", "source", "n_chars")
-    several = docs.join(odd.where("kept"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), order).alias("row"))
+    several = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), order).alias("row"))
     return single.select(*COLUMNS).union(several.select("doc_id", "row.*").select(*COLUMNS))
 
 
