@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows taken from an Arrow batch at once and output bytes after which a batch is sent on.
 ROWS, FLUSH_BYTES = 256, 4 << 20
+#: Whether a query's shuffle files go when it ends (Spark 4; others take no notice).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -58,10 +60,16 @@ def _place(df: DataFrame):
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage, and lost executors
-    cost only what they were working on.  remove() deletes it, at the latest the end of the application does."""
+    cost only what they were working on.  remove() deletes it, at the latest the end of the application does.  The shuffle
+    files of the write, which nothing reads again, go with its end and not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/feldspar-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._feldspar_path = path
     where, files = _place(out)

@@ -6,14 +6,14 @@ probability (1 - (1 - s ** ROWS) ** HALVES) ** 2.
 
 No bucket is expanded into all its pairs.  Documents with equal sets are one node.  A node is the more central
 the fuller its buckets are; each bucket's members are compared with its most central ones (one of each of HUBS
-shares), and what is linked becomes one component.  Buckets that still hold several components go on: the members
+shares), and what is linked becomes one component: first every member with one of them, then the pairs that these links leave apart.  Buckets that still hold several components go on: the members
 outside the largest one are compared with those of other components that share a half key, unless a bound excludes a link: a shingle
 that no other node of such buckets has is outside every intersection, and so is one whose bit the other's bitmap
 lacks.  So no link between components is lost,
 and what is compared follows the members that the bound leaves, not the square of the bucket.
 
-Shingles are 64-bit hashes (see words.py); the sets that are compared are whole.  The tables in between are deleted when the result has been
-written; that goes when the application ends.
+Shingles are 64-bit hashes (see words.py); the sets that are compared are whole.  What moves is whichever is shorter, a set or its text's
+words deflated.  Each table in between is deleted when it has been read for the last time; the result goes when the application ends.
 
 Rules: words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer words than a shingle is one shingle;
 null texts and those without words have none and link with nothing.  Rows of one doc_id are one node.  A null doc_id
@@ -23,7 +23,8 @@ links with nothing, has component_id null and is kept.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+import zlib
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, pick, remove, spread, written
 from .graph import components
-from .words import NOT_SPACE, mix, shingles, word_hashes
+from .words import NOT_SPACE, mix, shingles, word_hashes, words
 
 HALVES, ROWS = 8, 2
 #: Members with which all others of a bucket are compared first.
@@ -68,42 +69,59 @@ def sketch(docs: DataFrame, size: int, halves: int, rows: int) -> DataFrame:
     return map_rows(docs, "id long, n long, `set` binary, halves array<long>", lambda: row)
 
 
+def packed(text: str | None, s: np.ndarray) -> bytes:
+    """What unpacked() makes the text's shingles s of again: its words deflated or, where they are shorter, the shingles themselves."""
+    short = zlib.compress(b" ".join(words(text, NOT_SPACE)))
+    return b"w" + short if len(short) < s.nbytes else b"s" + s.tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    if data[:1] == b"s":
+        return np.frombuffer(data[1:], np.uint64)
+    return shingles(word_hashes(zlib.decompress(data[1:]).decode("utf-8", "surrogatepass"), NOT_SPACE), size)
+
+
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """Of id and text: id, the shingles (binary, sorted 64-bit numbers), and a bitmap of 64 * WORDS bits in WORDS columns."""
+    """Of id and text: id, the shingles (packed), and a bitmap of 64 * WORDS bits in WORDS columns."""
 
     def row(i, t):
         s = shingles(word_hashes(t, NOT_SPACE), size)
         bits = np.zeros(64 * WORDS, np.uint8)
         bits[(s % np.uint64(64 * WORDS)).astype(np.int64)] = 1
-        return i, s.tobytes(), *np.packbits(bits).view(np.int64).tolist()
+        return i, packed(t, s), *np.packbits(bits).view(np.int64).tolist()
 
     return map_rows(texts.select("id", "text"), "id long, s binary, " + ", ".join(f"b{k} long" for k in range(WORDS)), lambda: row)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (u, v): those with 100 * intersection >= percent * union.  Pairs are a written table: Spark knows its size and moves
     whichever of pairs and sets is smaller."""
     left = pairs.join(sets.select(F.col("id").alias("u"), "s"), "u")
     right = sets.select(F.col("id").alias("v"), F.col("s").alias("t")).join(pairs.select("v"), "v", "left_semi")
     both = left.join(right, "v")
 
-    def row(u, v, s, t):
-        a, b = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        shared = int(np.count_nonzero(b[at] == a)) if len(b) else 0
-        return u, v, 100 * shared >= percent * (len(a) + len(b) - shared)
+    def make():
+        read = lru_cache(4)(unpacked)  # pairs of one v mostly follow each other
+
+        def row(u, v, s, t):
+            a, b = read(s, size), read(t, size)
+            if len(a) > len(b):
+                a, b = b, a
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            shared = int(np.count_nonzero(b[at] == a)) if len(b) else 0
+            return u, v, 100 * shared >= percent * (len(a) + len(b) - shared)
+
+        return row
 
-    return map_rows(both.select("u", "v", "s", "t"), "u long, v long, linked boolean", lambda: row).where("linked").select("u", "v").distinct()
+    return map_rows(both.select("u", "v", "s", "t"), "u long, v long, linked boolean", make).where("linked").select("u", "v").distinct()
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
+def _own_shingles(sets: DataFrame, size: int) -> DataFrame:
     """id and alone: how many of its shingles no other of these sets has."""
 
     def row(i, s):
-        return [(i, v) for v in np.frombuffer(s, np.int64).tolist()]
+        return [(i, v) for v in unpacked(s, size).view(np.int64).tolist()]
 
     each = map_rows(sets.select("id", "s"), "id long, shingle long", lambda: row, many=True)
     one = each.groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("sets")).where("sets = 1")
@@ -119,6 +137,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     # equal sets: one node, named by its smallest id
     nodes = written(real.groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("halves").alias("halves")), "nodes")
     member = written(real.select("id", "n", "set").join(nodes.select("set", "node"), "set").select("id", "n", "node"), "member")
+    lone = written(sketched.where("id is null or `set` is null").select("id", "n"), "lone")
     several = member.groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w")
     edges = member.join(several, "id").select(F.col("node").alias("u"), "v").where("u != v").distinct()
 
@@ -134,31 +153,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     keyed = met.select("node", F.explode(tables).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = written(keyed.join(shared, "key"), "buckets")
+    remove(met)
     central = written(buckets.groupBy("node").agg(F.sum("members").alias("central")).join(nodes, "node").select("node", "n", "halves", "central"), "central")
+    remove(nodes)
     # an id whose rows have different texts has all their sets here, each once
     # (both lists of ids are written tables: Spark sees their sizes and moves the texts only if the ids are many)
     wanted = central.select(F.col("node").alias("id"))
     repeated = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     repeated = written(wanted.join(repeated, "id", "left_semi"), "repeated")
+    remove(sketched)
     wanted = written(wanted.join(repeated, "id", "left_anti"), "wanted")
     sets = written(_sets(docs.join(wanted, "id").union(docs.join(repeated, "id").dropDuplicates(["id", "text"])), size), "sets")
+    remove(repeated, wanted)
 
     # every bucket's members against its most central ones
     ranked = buckets.join(central.select("node", "n", "central"), "node")
     hub = ranked.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("share")).agg(F.max(F.struct("central", "node", "n")).alias("hub"))
-    near = ranked.join(hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("nh")), "key")
+    near = ranked.join(hub.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("nh"), F.col("hub.central").alias("c")), "key")
     near = near.where((F.col("node") != F.col("hub")) & (100 * F.least("n", "nh") >= percent * F.greatest("n", "nh")))
-    near = written(near.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "near")
-    first = written(edges.union(_verify(near, sets, percent)), "linked")
+    near = written(near.groupBy(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).agg(F.max("c").alias("c")), "near")
+    # one pair of each u first; its links leave few of the other pairs between two components
+    best = written(near.groupBy("u").agg(F.max(F.struct("c", "v")).alias("m")).select("u", F.col("m.v").alias("v")), "best")
+    one = written(edges.union(_verify(best, sets, size, percent)), "linked")
+    labels = components(one)
+    apart = near.join(labels.toDF("u", "cu"), "u", "left").join(labels.toDF("v", "cv"), "v", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+    apart = written(apart.select("u", "v").join(best, ["u", "v"], "left_anti"), "apart")
+    remove(near, best, labels)
+    first = written(one.union(_verify(apart, sets, size, percent)), "linked")
+    remove(one, apart)
     labels = components(first)
 
     # nodes of buckets that still hold several components
     held = buckets.where("members > 2").join(labels.toDF("node", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
     mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
     pool = written(held.join(mixed, "key").select("node", "c").distinct(), "pool")
+    remove(buckets, labels)
     own_sets = sets.join(pool.select(F.col("node").alias("id")), "id")
     odd = several.select(F.col("id").alias("node"), F.lit(True).alias("odd"))
-    info = pool.join(central, "node").join(_own_shingles(own_sets).withColumnRenamed("id", "node"), "node", "left").join(odd, "node", "left")
+    info = pool.join(central, "node").join(_own_shingles(own_sets, size).withColumnRenamed("id", "node"), "node", "left").join(odd, "node", "left")
     bits = [f"b{k}" for k in range(WORDS)]
     # o: what an intersection can have at most
     info = info.select("node", "c", "n", "halves", F.coalesce("odd", F.lit(False)).alias("odd"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("o"))
@@ -168,10 +200,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     halved = info.select("*", *[F.element_at("halves", k + 1).alias(h) for k, h in enumerate(half)], F.posexplode(F.slice("halves", 1, halves)).alias("at", "half"))
     halved = halved.withColumn("key", F.xxhash64("at", "half")).drop("halves", "half")
     halved = written(halved, "halved")
+    remove(pool, central)
     groups = halved.groupBy("key").agg(F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key", "least")
     # the smallest partner that could hold o makes the union least
     able = halved.join(groups, "key").where(F.col("odd") | (100 * F.col("o") >= percent * (F.col("n") + F.greatest("least", "o") - F.col("o")))).drop("least")
     able = written(able, "able")
+    remove(halved)
     main = able.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     marked = able.join(main, "key")
     stray = marked.where("c != main").select("key", *[F.col(x).alias(f"s_{x}") for x in ("node", "c", "n", "o", "odd", *bits, *half)])
@@ -187,14 +221,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     again = reduce(lambda x, y: x | y, [(F.col("at") > k) & (F.col(h) == F.col(f"s_{h}")) for k, h in enumerate(half)])
     pairs = stray.join(marked, "key").where((F.col("c") != F.col("s_c")) & both & (F.col("odd") | F.col("s_odd") | possible & ~again))
     far = written(pairs.select(F.greatest("s_node", "node").alias("u"), F.least("s_node", "node").alias("v")).distinct(), "far")
-    second = written(_verify(far, sets, percent), "linked")
-    remove(labels)
+    remove(able)
+    second = written(_verify(far, sets, size, percent), "linked")
+    remove(sets, far)
     labels = components(first.union(second))
     own = member.join(labels.toDF("node", "c"), "node", "left").select("id", "n", F.coalesce("c", "node").alias("component"))
-    rest = sketched.where("id is null or `set` is null").select("id", "n", F.col("id").alias("component"))
+    rest = lone.select("id", "n", F.col("id").alias("component"))
     result = own.union(rest).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
     result = written(result, "components")
-    remove(sketched, nodes, member, met, buckets, repeated, wanted, central, sets, near, first, pool, halved, able, far, second, labels)
+    remove(member, lone, first, second, labels)
     return result
 
 

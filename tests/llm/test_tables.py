@@ -9,7 +9,9 @@ import pytest
 
 import corpus_pipeline
 from feldspar.llm import decontaminate, dedup
+from feldspar.llm.common import pick, remove, written
 from feldspar.llm.graph import components
+from feldspar.llm.words import NOT_SPACE, shingles, word_hashes
 
 
 def set_of(text, size):
@@ -124,6 +126,35 @@ def test_a_crowd_of_near_copies(docs):
     assert {x["doc_id"]: x["component_id"] for x in got} == want and 1 < len(set(want.values())) < 150
 
 
+def on_disk(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_the_table_that_they_made(spark, docs):
+    held = docs([(i, f"text {i % 7}") for i in range(50)])
+    before, key = on_disk(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    table = written(held.groupBy("text").count(), "test")
+    assert {r["text"]: r["count"] for r in table.collect()} == {f"text {i}": 8 if i == 0 else 7 for i in range(7)}
+    assert not on_disk(spark) - before and spark.conf.get(key, None) == was
+    remove(table)
+
+
+def test_what_is_moved_of_a_set(spark, docs):
+    """Shorter than the set where the text allows it, and the whole set again."""
+    r = random.Random(6)
+    prose = " ".join(r.choice(["and", "The", "river", "of", "stone", "went", "slowly", "by"]) + str(r.randrange(9)) for _ in range(900))
+    odd = ["one", "A b\x0bC\x00d", "\ud800 x \u00c4\u3000y", "a\u00a0b c d e", "z " * 5000, " ".join(str(r.getrandbits(200)) for _ in range(60)), prose]
+    for text in odd:
+        for size in (3, 5):
+            s = shingles(word_hashes(text, NOT_SPACE), size)
+            data = dedup.packed(text, s)
+            assert len(data) <= s.nbytes + 1 and dedup.unpacked(data, size).tolist() == s.tolist(), text[:20]
+    got = dedup._sets(pick(docs([(1, prose)]), "doc_id", "text").toDF("id", "text"), 3).first()
+    assert len(got["s"]) < 8 * len(set_of(prose, 3)) / 2
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
