@@ -156,15 +156,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, halves: i
     remove(met)
     central = written(buckets.groupBy("node").agg(F.sum("members").alias("central")).join(nodes, "node").select("node", "n", "halves", "central"), "central")
     remove(nodes)
-    # an id whose rows have different texts has all their sets here, each once
-    # (both lists of ids are written tables: Spark sees their sizes and moves the texts only if the ids are many)
-    wanted = central.select(F.col("node").alias("id"))
+    # (both lists of ids are written tables: Spark sees their sizes and moves the texts only if the ids are many, and then once)
+    wanted = written(central.select(F.col("node").alias("id")), "wanted")
     repeated = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     repeated = written(wanted.join(repeated, "id", "left_semi"), "repeated")
     remove(sketched)
-    wanted = written(wanted.join(repeated, "id", "left_anti"), "wanted")
-    sets = written(_sets(docs.join(wanted, "id").union(docs.join(repeated, "id").dropDuplicates(["id", "text"])), size), "sets")
-    remove(repeated, wanted)
+    found = written(_sets(docs.join(wanted, "id"), size), "found")
+    # an id whose rows have different texts has all their sets here, each once
+    sets = found.join(repeated, "id", "left_anti").union(found.join(repeated, "id", "left_semi").dropDuplicates(["id", "s"]))
+    sets = written(sets, "sets")
+    remove(repeated, wanted, found)
 
     # every bucket's members against its most central ones
     ranked = buckets.join(central.select("node", "n", "central"), "node")
